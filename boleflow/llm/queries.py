@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality
+from . import langid, license_scan, packing, quality
 from .common import documents
 
 #: Where the public tokenizers' vocabulary files are; None asks the installed package.
@@ -30,7 +30,23 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+def held_out() -> F.Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model, pieces = langid.fit(docs.filter(~held_out()), tokenizer_path("piece_bpe_32k.model"))
+    return langid.predict(docs, model, pieces).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op3_language_id": op3_language_id,
+    "op7_license_scan": op7_license_scan,
     "op4_quality_rules": op4_quality_rules,
     "op6_packing": op6_packing,
 }
