@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, license_scan, packing, quality
+from . import langid, license_scan, packing, quality, url_filter
 from .common import documents
 
 #: Where the public tokenizers' vocabulary files are; None asks the installed package.
@@ -44,7 +44,12 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op3_language_id": op3_language_id,
     "op7_license_scan": op7_license_scan,
     "op4_quality_rules": op4_quality_rules,
