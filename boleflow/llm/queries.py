@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, license_scan, packing, quality, url_filter
+from . import langid, license_scan, packing, quality, simhash, url_filter
 from .common import documents
 
 #: Where the public tokenizers' vocabulary files are; None asks the installed package.
@@ -34,6 +34,10 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.group(documents(spark, sf_dir)).select("doc_id", simhash.hex_of().alias("fingerprint"), "component_id")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model, pieces = langid.fit(docs.filter(~held_out()), tokenizer_path("piece_bpe_32k.model"))
@@ -50,6 +54,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_simhash": op2_simhash,
     "op3_language_id": op3_language_id,
     "op7_license_scan": op7_license_scan,
     "op4_quality_rules": op4_quality_rules,
