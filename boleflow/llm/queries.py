@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, license_scan, packing, quality, simhash, url_filter
+from . import langid, license_scan, packing, phrase_dedup, quality, simhash, suffix_dedup, url_filter
 from .common import documents
 
 #: Where the public tokenizers' vocabulary files are; None asks the installed package.
@@ -52,11 +52,21 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir)).drop("kept")
+
+
+def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.dedup(documents(spark, sf_dir)).drop("kept")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
     "op3_language_id": op3_language_id,
     "op7_license_scan": op7_license_scan,
+    "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_phrase_dedup": op10_phrase_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op6_packing": op6_packing,
 }
