@@ -37,7 +37,6 @@ FLOOR = 1e-7
 UNKNOWN = "und"
 CACHE = 300_000
 START = "▁"
-SCHEMA = "doc_id long, lang_pred string, score double"
 
 _RUNS = re.compile(r"[^\W\d_]+").findall
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -177,8 +176,8 @@ def sample(labelled: DataFrame, id_col: str, lang_col: str, per_lang: int = SAMP
 _SEEN: dict[str, tuple[dict, list]] = {}
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], pieces: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred and score: the posterior of the language, all languages alike before."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], pieces: list[str], keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns keep, lang_pred and score: the language's posterior, all alike before."""
     langs, p = model
     key = str(hash((tuple(langs), p.tobytes())))
 
@@ -189,7 +188,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], pieces: list[s
             _SEEN[key] = ({}, [np.empty((0, len(langs)))])
         index, held = _SEEN[key]
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = batch.column(at_text).to_pylist()
             out_lang, out_score = [], []
             for at in range(0, len(texts), 64):
                 if len(index) > CACHE:
@@ -209,9 +208,12 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], pieces: list[s
                     best = int(s.argmax())
                     out_lang.append(langs[best])
                     out_score.append(float(1 / np.exp(s - s[best]).sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out_lang, pa.string()), pa.array(out_score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out_lang, pa.string()), pa.array(out_score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return arrow_map(docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as string) as t"), run, SCHEMA)
+    chosen = docs.select(*keep) if text_col in keep else docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chosen.schema[: len(keep)])
+    at_text = keep.index(text_col) if text_col in keep else len(keep)
+    return arrow_map(chosen, run, f"{schema}lang_pred string, score double")
 
 
 def fit(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_DOCS) -> tuple[tuple[list[str], np.ndarray], list[str]]:

@@ -14,12 +14,13 @@ judged on the input. Very long texts are hashed whole.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import BASES, LONG, U, Known, mix, powers, prefixes, read_chunks, table, texts_of, verdicts
+from .repeats import BASES, LONG, U, Known, mix, nullable, powers, prefixes, read_chunks, table, texts_of, verdicts
 
 LENGTH = 35
 GRAM = 16
@@ -77,9 +78,27 @@ def locate(docs: list[list[bytes]], passages: list[tuple[bytes, ...]]) -> list[l
     return [[(at + 1 - n, at + 1) for at, n in automaton.iter_long("".join([codes.get(w, other) for w in words]))] for words in docs]
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """One row a document: SCHEMA, and kept, the remaining words joined by one space."""
-    dealt, found = verdicts(docs, length, gram, word_units, window_digests(length), resolve, id_col, text_col)
+#: Words and the white space between them, in turn.
+SPLIT = re.compile(rb"[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+").findall
+
+
+def gaps(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
+    """What lies between spans, from 0 to n, without empty pieces."""
+    edges = [0, *(x for s in spans for x in s), n]
+    return [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if a < b]
+
+
+def cut(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
+    return [w for a, b in gaps(spans, len(words)) for w in words[a:b]]
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, carry: list[str] | None = None) -> DataFrame:
+    """One row a document: SCHEMA, kept, and carried, a struct of the columns carry.
+
+    kept is what remains of the text, with its own white space inside what is kept in
+    one piece; kept_sha256 is of the remaining words joined by one space.
+    """
+    dealt, found = verdicts(docs, length, gram, word_units, window_digests(length), resolve, id_col, text_col, carry)
 
     def finish(docs_t: pa.Table, verdict_t: pa.Table) -> pa.Table:
         texts, known = texts_of(docs_t), Known(verdict_t, length, gram)
@@ -97,22 +116,25 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                     passages[tuple(words[lo - int(starts[d]) : hi - int(starts[d])])] = None
         split = [t.split() for t in texts]
         places = locate(split, list(passages))
-        n_removed, kept = [], []
-        for words, spans in zip(split, places, strict=True):
+        n_removed, kept, sha = [], [], []
+        for text, words, spans in zip(texts, split, places, strict=True):
             n_removed.append(sum(b - a for a, b in spans))
-            left, at = [], 0
-            for a, b in spans:
-                left += words[at:a]
-                at = b
-            kept.append(b" ".join(left + words[at:]))
+            if not spans:
+                kept.append(text)
+                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
+                continue
+            sha.append(hashlib.sha256(b" ".join(cut(words, spans))).hexdigest())
+            ends = np.cumsum([len(w) for w in SPLIT(text)]).tolist()  # of words and gaps in turn
+            offset = 1 if text[:1].isspace() else 0
+            kept.append(b" ".join(text[ends[2 * a + offset - 1] if 2 * a + offset else 0 : ends[2 * b - 2 + offset]] for a, b in gaps(spans, len(words))))
         return table(
             {
                 "doc_id": (docs_t.column("doc_id"), LONG),
                 "n_words": ([len(w) for w in split], LONG),
                 "n_removed": (n_removed, LONG),
-                "kept_sha256": ([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
+                "kept_sha256": (sha, pa.string()),
                 "kept": (kept, pa.binary()),
             }
-        )
+        ).append_column("carried", nullable(docs_t.column("carried")))
 
-    return dealt.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(finish, SCHEMA + ", kept binary")
+    return dealt.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(finish, f"{SCHEMA}, kept binary, carried {dealt.schema['carried'].dataType.simpleString()}")

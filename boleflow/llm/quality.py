@@ -33,18 +33,19 @@ def _marks(chars: str) -> Column:
     return (F.length("m") - F.length(F.translate("m", chars, ""))).cast("long")
 
 
-def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts that the rules read, one row a document, without a shuffle.
+def text_stats(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns keep and the counts that the rules read, one row a document, without a shuffle.
 
     Repeated 8-word windows are found by sorting 64-bit hashes inside the row, and only
     in rows where the distinct hashes are fewer than the hashes.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t"))
-    d = d.select("doc_id", "t", F.filter(F.split("t", SPACE), lambda w: w != "").alias("w"))
+    own = F.struct(*keep, F.lit(0).alias("__")).alias("own")
+    d = docs.select(own, text_or_empty(text_col).alias("t"))
+    d = d.select("own", "t", F.filter(F.split("t", SPACE), lambda w: w != "").alias("w"))
     marks = "".join("\\" + c for c in SYMBOLS + ENDS)
     h = F.transform("w", lambda w: F.xxhash64(w))
     d = d.select(
-        "doc_id",
+        "own",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
@@ -54,7 +55,7 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     for step in (1, 2, 4):  # hashes of 2, 4, then 8 words from each word on
         d = d.withColumn("h", F.expr(f"transform(h, (x, i) -> xxhash64(x, get(h, i + {step})))"))
     d = d.select(
-        "doc_id",
+        "own",
         "n_words",
         "word_chars",
         _marks(SYMBOLS).alias("n_symbols"),
@@ -83,7 +84,7 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         lambda a, i: F.struct((a["n"] + i + WINDOW - F.greatest(i, a["end"])).alias("n"), (i + WINDOW).alias("end")),
     )["n"]
     d = d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
-    return d.select("doc_id", *STATS)
+    return d.select(*[F.col(f"own.`{c}`").alias(c) for c in keep], *STATS)
 
 
 def votes() -> Column:
@@ -152,13 +153,32 @@ def posterior(model: dict) -> Column:
     return weight(0) / total
 
 
+def verdict(threshold: float = 0.5) -> dict[str, Column]:
+    """base_failed, and kept, from the counts and the column quality."""
+    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return {"base_failed": base, "kept": ~base & (F.col("quality") >= threshold)}
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """Every document with its counts, base_failed, quality (posterior) and kept.
+    """Every document with its counts, votes, quality (posterior), base_failed and kept.
 
     The counts are written once; fitting and judging both read that table.
     """
-    stats = materialise(text_stats(docs, id_col, text_col).withColumn("v", votes()))
-    model = fit(stats)
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    out = stats.withColumns({"base_failed": base, "quality": posterior(model)})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold)).withColumnRenamed("v", "votes")
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    stats = materialise(text_stats(d, ["doc_id"]).withColumn("v", votes()))
+    return stats.withColumn("quality", posterior(fit(stats))).withColumns(verdict(threshold)).withColumnRenamed("v", "votes")
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that judge() keeps, with their own columns.
+
+    The vote patterns are counted in a first pass; the second counts again and filters,
+    so that no text is shuffled and rows that share an id are judged apart.
+    """
+    model = fit(text_stats(docs.select(F.col(text_col).alias("text")), []).select(votes().alias("v")))
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    counted = text_stats(own, ["row"])
+    # a fence: without it the filter would move below the counts and repeat their expressions
+    counted = counted.withColumn("n_words", F.col("n_words") + F.monotonically_increasing_id() * F.lit(0))
+    judged = counted.withColumn("v", votes()).withColumn("quality", posterior(model)).withColumns(verdict(threshold))
+    return judged.filter("kept").select("row.*")

@@ -41,7 +41,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model, pieces = langid.fit(docs.filter(~held_out()), tokenizer_path("piece_bpe_32k.model"))
-    return langid.predict(docs, model, pieces).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs, model, pieces, ["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phrase_dedup.dedup(documents(spark, sf_dir)).drop("kept")
+    return phrase_dedup.dedup(documents(spark, sf_dir)).drop("kept", "carried")
 
 
 QUERIES = {

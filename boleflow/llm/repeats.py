@@ -150,6 +150,13 @@ def table(columns: dict[str, tuple[np.ndarray | list, pa.DataType]]) -> pa.Table
     return pa.table({k: pa.array(v.view(np.int64) if isinstance(v, np.ndarray) and v.dtype == U else v, t) for k, (v, t) in columns.items()})
 
 
+def nullable(structs: pa.ChunkedArray) -> pa.StructArray:
+    """The same structs with fields that may be null, as a schema string declares them."""
+    flat = structs.combine_chunks()
+    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+    return pa.StructArray.from_arrays(flat.flatten(), names=[f.name for f in flat.type])
+
+
 def column(t: pa.Table, name: str) -> np.ndarray:
     return t.column(name).to_numpy()
 
@@ -168,8 +175,8 @@ LONG, INT, BIN = pa.int64(), pa.int32(), pa.binary()
 VERDICT = "shard int, d1 long, d2 long, flags binary"
 
 
-def verdicts(docs: DataFrame, length: int, gram: int, to_units: Units, payload: Payload, resolve: Resolver, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(dealt documents: shard, doc_id, text; verdicts by shard and span).
+def verdicts(docs: DataFrame, length: int, gram: int, to_units: Units, payload: Payload, resolve: Resolver, id_col: str, text_col: str, carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(dealt documents: shard, doc_id, text, carried; verdicts by shard and span).
 
     flags has a bit for each window of the span, or is null where all recur.
     """
@@ -177,7 +184,7 @@ def verdicts(docs: DataFrame, length: int, gram: int, to_units: Units, payload:
     prepare(spark)
     n_shards = shards_for(spark, docs, 4 << 20)
     dealt = docs.select(
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_shards)).cast("int").alias("shard"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
+        F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_shards)).cast("int").alias("shard"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *(carry or [])).alias("carried")
     ).repartition("shard")
 
     def find(t: pa.Table) -> pa.Table:
