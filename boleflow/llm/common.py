@@ -77,6 +77,21 @@ def shards_for(spark: SparkSession, docs: DataFrame, per_shard: int = 16 << 20)
     return max(least, min(100_000, size // per_shard)) if size < 1 << 60 else least
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(key: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from one task to the next: one operator's tables at a time.
+
+    Workers outlive stages; tables of an operator that runs no more would add to those
+    of the next.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def binary(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without a decoding pass."""
     col = batch.column(batch.schema.get_field_index(name))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, held
 
 SAMPLE_DOCS = 200
 EM_ROUNDS = 3
@@ -173,38 +173,32 @@ def sample(labelled: DataFrame, id_col: str, lang_col: str, per_lang: int = SAMP
     return labelled.filter(take)
 
 
-_SEEN: dict[str, tuple[dict, list]] = {}
-
-
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], pieces: list[str], keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns keep, lang_pred and score: the language's posterior, all alike before."""
     langs, p = model
-    key = str(hash((tuple(langs), p.tobytes())))
+    key = f"langid {hash((tuple(langs), p.tobytes()))}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = Segmenter(pieces)
-        if key not in _SEEN:
-            _SEEN.clear()
-            _SEEN[key] = ({}, [np.empty((0, len(langs)))])
-        index, held = _SEEN[key]
+        index, scores = held(key, lambda: ({}, [np.empty((0, len(langs)))]))
         for batch in batches:
             texts = batch.column(at_text).to_pylist()
             out_lang, out_score = [], []
             for at in range(0, len(texts), 64):
                 if len(index) > CACHE:
                     index.clear()
-                    held[0] = held[0][:0]
+                    scores[0] = scores[0][:0]
                 found = [words(t) if t else [] for t in texts[at : at + 64]]
                 new = list({w for ws in found for w in ws if w not in index})
                 if new and langs:
-                    index.update(zip(new, range(len(held[0]), len(held[0]) + len(new)), strict=True))
-                    held[0] = np.concatenate([held[0], segmenter.forward(new, p)])
+                    index.update(zip(new, range(len(scores[0]), len(scores[0]) + len(new)), strict=True))
+                    scores[0] = np.concatenate([scores[0], segmenter.forward(new, p)])
                 for ws in found:
                     if not ws or not langs:
                         out_lang.append(UNKNOWN)
                         out_score.append(0.0)
                         continue
-                    s = held[0][np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))].sum(0)
+                    s = scores[0][np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))].sum(0)
                     best = int(s.argmax())
                     out_lang.append(langs[best])
                     out_score.append(float(1 / np.exp(s - s[best]).sum()))

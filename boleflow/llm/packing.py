@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, binary
+from .common import arrow_map, binary, held
 
 CAPACITY = 2048
 END_ID = 1
@@ -86,17 +86,18 @@ class WordIds:
 PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]*").fullmatch
 #: The tokenizer's own split pattern on such runs, lower-cased.
 PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\\s0-9a-zß-öø-ſ]+").findall
-_WORDS: dict[str, WordIds] = {}
 
 
 def word_ids(tokenizer_path: str) -> WordIds:
     """One for each tokenizer and worker process: later tasks find what earlier ones learnt."""
-    if tokenizer_path not in _WORDS:
+
+    def make() -> WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _WORDS[tokenizer_path] = WordIds(Tokenizer.from_file(tokenizer_path))
-    return _WORDS[tokenizer_path]
+        return WordIds(Tokenizer.from_file(tokenizer_path))
+
+    return held(f"packing {tokenizer_path}", make)
 
 
 def fill(counts: list[int], capacity: int = CAPACITY, first: int | None = None) -> list[int]:

@@ -185,7 +185,7 @@ def verdicts(docs: DataFrame, length: int, gram: int, to_units: Units, payload:
     n_shards = shards_for(spark, docs, 4 << 20)
     dealt = docs.select(
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_shards)).cast("int").alias("shard"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *(carry or [])).alias("carried")
-    ).repartition("shard")
+    ).repartition(max(n_shards // 2, int(spark.conf.get("spark.sql.shuffle.partitions"))), "shard")
 
     def find(t: pa.Table) -> pa.Table:
         got = [(s.anchor, s.d1, s.d2) for _, _, _, s in read_chunks(texts_of(t), to_units, length, gram)]
