@@ -183,9 +183,10 @@ def verdicts(docs: DataFrame, length: int, gram: int, to_units: Units, payload:
     spark = docs.sparkSession
     prepare(spark)
     n_shards = shards_for(spark, docs, 4 << 20)
+    parts = max(n_shards // 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = docs.select(
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_shards)).cast("int").alias("shard"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *(carry or [])).alias("carried")
-    ).repartition(max(n_shards // 2, int(spark.conf.get("spark.sql.shuffle.partitions"))), "shard")
+    ).repartition(parts, "shard")
 
     def find(t: pa.Table) -> pa.Table:
         got = [(s.anchor, s.d1, s.d2) for _, _, _, s in read_chunks(texts_of(t), to_units, length, gram)]
@@ -199,7 +200,7 @@ def verdicts(docs: DataFrame, length: int, gram: int, to_units: Units, payload:
         shard = t.column("shard")[0].as_py()
         return table({"shard": (np.full(len(at), shard), INT), "a": (a[at], LONG), "d1": (d1[at], LONG), "d2": (d2[at], LONG), "n": (n, INT)})
 
-    found = dealt.groupBy("shard").applyInArrow(find, "shard int, a long, d1 long, d2 long, n int").repartition("a")
+    found = dealt.groupBy("shard").applyInArrow(find, "shard int, a long, d1 long, d2 long, n int").repartition(parts, "a")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """kind 0: repeated as a whole; 1: asked for; 2: has a span that is asked for elsewhere."""
@@ -277,7 +278,7 @@ def verdicts(docs: DataFrame, length: int, gram: int, to_units: Units, payload:
             s, x, y, f = zip(*out, strict=True)
             yield from pa.table({"shard": pa.array(s, INT), "d1": pa.array(x, LONG), "d2": pa.array(y, LONG), "flags": pa.array(f, BIN)}).to_batches(1 << 16)
 
-    settled = sent.unionByName(holders).repartition("a").mapInArrow(settle, VERDICT)
+    settled = sent.unionByName(holders).repartition(parts, "a").mapInArrow(settle, VERDICT)
     full = met.filter("kind = 0").select("shard", "d1", "d2", F.lit(None).cast("binary").alias("flags"))
     return dealt, full.unionByName(settled)
 

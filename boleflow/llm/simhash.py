@@ -39,6 +39,8 @@ DENSE = 256
 STEP = 8
 CHUNK = 1 << 20
 LEVELS = 64 // STEP
+#: Candidates that a task holds, on average.
+ROWS = 1_000_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -199,7 +201,8 @@ def blocks_for(bits: int, n_distinct: int) -> int:
 
 def link(fps: DataFrame, bits: int = BITS, blocks: int | None = None) -> DataFrame:
     """(a, b): pairs of distinct fingerprints (column fp) whose closure is that of all links."""
-    blocks = blocks or blocks_for(bits, fps.count())
+    n = fps.count()
+    blocks = blocks or blocks_for(bits, n)
     cuts = [64 * i // blocks for i in range(blocks + 1)]
     masks = []
     for chosen in combinations(range(blocks), blocks - bits):
@@ -217,7 +220,7 @@ def link(fps: DataFrame, bits: int = BITS, blocks: int | None = None) -> DataFra
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * len(masks) // ROWS)
     return arrow_map(spread.repartition(parts, "root"), run, "a long, b long")
 
 
