@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -34,14 +35,14 @@ END_ID = 1
 #: Remainders held before windows are filled: bounds the memory of a task.
 POOL = 4096
 #: Runs and parts held with their ids by a worker, each.
-CACHE = 800_000
+CACHE = 1_800_000
 #: Documents whose unknown words are learnt in one call.
 GROUP = 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordIds:
-    """Token ids (as little-endian bytes) of a run without space or line feed.
+    """Token ids (32-bit words, in the machine's little-endian order) of a run without space or line feed.
 
     The tokenizer normalises and splits at white space, so that a text's ids are the ids
     of its runs in turn; a run met before costs a look-up. An unknown run of plain Latin
@@ -53,17 +54,22 @@ class WordIds:
         self.tokenizer, self.runs, self.parts = tokenizer, {}, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def learn(self, words: list[bytes]) -> None:
-        texts, plain, rest = [w.decode("utf-8", "replace") for w in words], [], []
-        for w, t in zip(words, texts, strict=True):
-            (plain if PLAIN(t) and "<|" not in t else rest).append((w, t))
-        split = [(w, PART(t.lower())) for w, t in plain]
-        if new := list({p for _, parts in split for p in parts if p not in self.parts}):
-            self.parts.update(zip(new, self.encode(new), strict=True))
-        for w, parts in split:
-            self.runs[w] = b"".join([self.parts[p] for p in parts])
+        parts, plain, split, rest, new = self.parts, [], [], [], set()
+        for w in words:
+            t = w.decode("utf-8", "replace")
+            if "<|" not in t and PLAIN(t):
+                plain.append(w)
+                split.append(p := PART(t.lower()))
+                new.update(p)
+            else:
+                rest.append((w, t))
+        if unknown := list(new.difference(parts)):
+            parts.update(zip(unknown, self.encode(unknown), strict=True))
+        for w, p in zip(plain, split, strict=True):
+            self.runs[w] = parts[p[0]] if len(p) == 1 else b"".join([parts[x] for x in p])
         if rest:
             self.runs.update(zip([w for w, _ in rest], self.encode([t for _, t in rest]), strict=True))
 
