@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, license_scan, packing, phrase_dedup, quality, simhash, suffix_dedup, url_filter
+from . import langid, license_scan, packing, phrase_dedup, quality, sentencepiece_codec, simhash, suffix_dedup, topk, url_filter
 from .common import documents
 
 #: Where the public tokenizers' vocabulary files are; None asks the installed package.
@@ -26,6 +26,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.coded(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    queries = rows.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    return topk.search(rows, queries)
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model")).drop("ids")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
 
@@ -65,10 +75,16 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_language_id": op3_language_id,
     "op7_license_scan": op7_license_scan,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_phrase_dedup": op10_phrase_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_topk": op5_topk,
     "op6_packing": op6_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_topk": """WITH c AS (SELECT vec_id, list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::HUGEINT << i::INTEGER) ELSE 0::HUGEINT END))::HUGEINT AS code FROM embeddings),
+ d AS (SELECT q.vec_id AS query_id, b.vec_id, CAST(bit_count(xor(q.code, b.code)) AS BIGINT) AS distance FROM c q CROSS JOIN c b WHERE q.vec_id % 100 = 0)
+ SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank, vec_id, distance FROM d) WHERE rank <= 10""",
+}

@@ -13,7 +13,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from boleflow.llm import langid, license_scan, packing, phrase_dedup, quality, queries, repeats, simhash, suffix_dedup, url_filter
+from boleflow.llm import langid, license_scan, packing, phrase_dedup, quality, queries, repeats, sentencepiece_codec, simhash, suffix_dedup, topk, url_filter
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -369,3 +369,63 @@ def test_sliding_minimum():
     v = np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64)
     for w in (1, 2, 7, 500):
         assert (repeats.sliding_min(v, w) == [v[i : i + w].min() for i in range(500 - w + 1)]).all()
+
+
+# --- 5 and 8 ---------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("n", "k"), [(3000, 10), (7, 10), (500, 1)])
+def test_topk(spark, n, k):
+    rng = np.random.default_rng(n)
+    codes = rng.integers(0, 1 << 63, n, np.uint64) << np.uint64(1)
+    codes[n // 2 :] = codes[: n - n // 2] ^ (np.uint64(1) << rng.integers(0, 64, n - n // 2).astype(np.uint64))
+    codes[-1] = codes[0]
+    rows = spark.createDataFrame([(i, int(c.astype(np.int64))) for i, c in enumerate(codes)], "vec_id long, code long")
+    asked = rows.filter("vec_id % 50 = 0").toDF("query_id", "code")
+    got = defaultdict(list)
+    for r in topk.search(rows, asked, k).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["distance"], r["vec_id"]))
+    for q in range(0, n, 50):
+        d = np.bitwise_count(codes ^ codes[q])
+        assert got[q] == sorted(zip(d.tolist(), range(n), strict=True))[:k]
+
+
+def test_topk_query(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{DATA}/embeddings.parquet'")
+    cur = con.execute(queries.ORACLE_SQL["op5_topk"])
+    names = [c[0] for c in cur.description]
+    assert sorted(map(tuple, queries.op5_topk(spark, DATA).select(*names).collect())) == sorted(cur.fetchall())
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return sentencepiece_codec.load(queries.tokenizer_path("piece_bpe_32k.model"))
+
+
+def test_texts_come_back(codec):
+    for t in ["", " ", "  two  spaces ", "Hello world", "日本語 🎉", "a▁b ▁ c▁", "\n\ttabs\r\n", "é" * 500, "x"]:
+        ids = np.frombuffer(codec.encode(t), np.uint32).tolist()
+        assert (codec.decode(ids) if ids else "") == t
+
+
+def test_viterbi_is_the_best_segmentation(codec):
+    pieces = {"a": -1.0, "b": -1.5, "ab": -2.0, "ba": -1.2, "▁a": -1.1, "▁": -0.7, "bab": -2.9}
+    small = sentencepiece_codec.Codec([(t, i, s) for i, (t, s) in enumerate(pieces.items())], list(range(100, 356)))
+
+    def best(s):
+        if not s:
+            return 0.0
+        return max([pieces[s[:k]] + best(s[k:]) for k in range(1, 4) if s[:k] in pieces] + [small.penalty * len(s[0].encode()) + best(s[1:])])
+
+    score = dict(enumerate(pieces.values()))
+    for u in ("▁abab", "▁▁bac", "abbabab", "▁ébab"):
+        ids = np.frombuffer(small.best(u), np.uint32).tolist()
+        assert abs(sum(score.get(i, small.penalty) for i in ids) - best(u)) < 1e-9
+
+
+def test_sentencepiece_query(spark, docs):
+    got = by_id(queries.op8_sentencepiece(spark, DATA))
+    assert len(got) == len(docs) and all(r["round_trip"] for r in got.values())
