@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.geometry import angle, direction, dist, end_lines, gap_factor, vote
+from ..functions.geometry import angle, direction, dist, end_lines, gap_factor, unit, vote
 from .spatial import near
 
 
@@ -28,15 +28,19 @@ def votes(stems: DataFrame, c: Config = Config()) -> DataFrame:
     """(base, other, vote) of connections from a base's stop to another's start that the
     gates let pass. stems: stem_id and path, an array of points."""
     first, last = F.get("path", F.lit(0)), F.element_at("path", -1)
-    s = stems.withColumns(dict(zip(("sl0", "sl1", "el0", "el1"), end_lines("path"), strict=True)))
-    s = s.select("stem_id", first["x"].alias("start_x"), first["y"].alias("start_y"), last["x"].alias("stop_x"), last["y"].alias("stop_y"), "sl0", "sl1", "el0", "el1", F.element_at("path", -2).alias("inner_stop"), F.get("path", F.lit(1)).alias("inner_start"))
-    a = s.select(F.col("stem_id").alias("base"), F.col("start_x").alias("far_x"), F.col("start_y").alias("far_y"), F.col("stop_x").alias("ax"), F.col("stop_y").alias("ay"), "el0", "el1", "inner_stop")
-    b = s.select(F.col("stem_id").alias("other"), F.col("start_x").alias("bx"), F.col("start_y").alias("by"), F.col("stop_x").alias("end_x"), F.col("stop_y").alias("end_y"), "sl0", "sl1", "inner_start")
+    sl0, sl1, el0, el1 = end_lines("path")
+    lines = {k: v for name, (x, y) in (("s", direction(sl0, sl1)), ("e", direction(el0, el1))) for k, v in ((name + "x", x), (name + "y", y))}
+    s = stems.withColumns(lines | {"inner_stop": F.element_at("path", -2), "inner_start": F.get("path", F.lit(1))})
+    a = s.select(F.col("stem_id").alias("base"), first["x"].alias("far_x"), first["y"].alias("far_y"), last["x"].alias("ax"), last["y"].alias("ay"), "ex", "ey", F.col("inner_stop.x").alias("px"), F.col("inner_stop.y").alias("py"))
+    b = s.select(F.col("stem_id").alias("other"), first["x"].alias("bx"), first["y"].alias("by"), last["x"].alias("end_x"), last["y"].alias("end_y"), "sx", "sy", F.col("inner_start.x").alias("qx"), F.col("inner_start.y").alias("qy"))
     d = near(a, b, "ax", "ay", "bx", "by", c.max_distance).filter("base <> other")
-    gap = dist(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    stop_line, start_line = direction(F.col("el0"), F.col("el1")), direction(F.col("sl0"), F.col("sl1"))
-    missing = direction(F.col("inner_stop"), F.col("inner_start"))
-    d = d.withColumns({"gap": gap, "a1": angle(stop_line, start_line), "a2": angle(stop_line, missing), "a3": angle(missing, start_line), "extent": dist(F.col("far_x"), F.col("far_y"), F.col("end_x"), F.col("end_y"))})
+    stop_line, start_line = (F.col("ex"), F.col("ey")), (F.col("sx"), F.col("sy"))
+    mx, my = unit(F.col("px"), F.col("py"), F.col("qx"), F.col("qy"))
+    # directions of a stem's own lines come from before the join; gates are passed one by one
+    d = d.withColumns({"gap": dist(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")), "a1": angle(stop_line, start_line)}).filter(F.col("a1") < F.lit(c.tolerance_angle))
+    d = d.withColumns({"mx": mx, "my": my})
+    missing = (F.col("mx"), F.col("my"))
+    d = d.withColumns({"a2": angle(stop_line, missing), "a3": angle(missing, start_line), "extent": dist(F.col("far_x"), F.col("far_y"), F.col("end_x"), F.col("end_y"))})
     limit = F.lit(c.tolerance_angle) * gap_factor(F.col("gap"), c.max_distance)
     d = d.filter((F.col("a1") < limit) & (F.col("a2") < limit) & (F.col("a3") < limit) & (F.col("extent") < F.lit(c.max_tree_height)))
     return d.withColumn("vote", vote(F.col("a1"), F.col("a2"), F.col("a3"), F.col("extent"), F.col("gap"), c.tolerance_angle)).select("base", "other", "gap", "vote")
