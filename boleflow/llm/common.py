@@ -64,6 +64,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes the files of a table that materialise() wrote and that nothing reads any more."""
+    spark = table.sparkSession
+    for f in {os.path.dirname(f) for f in table.inputFiles()}:
+        if os.path.basename(f).startswith("table-"):
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shards_for(spark: SparkSession, docs: DataFrame, per_shard: int = 16 << 20) -> int:
     """Shards of about per_shard text bytes each, at least the shuffle partitions.
 

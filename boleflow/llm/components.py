@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = materialise(edges.select("a", "b").filter("a <> b").distinct())
     before = None
     for _ in range(rounds):
-        edges = materialise(_small_star(_large_star(edges)))
+        last, edges = edges, materialise(_small_star(_large_star(edges)))
+        discard(last)  # a round reads only the one before it
         now = tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
         if now == before:
             return edges
