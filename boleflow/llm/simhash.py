@@ -39,6 +39,9 @@ DENSE = 256
 STEP = 8
 CHUNK = 1 << 20
 LEVELS = 64 // STEP
+#: Blocks beyond the bits that may differ: so many blocks a root's members share. With 4
+#: bits a root is 21 of the 64 bits, whatever the size of the input.
+SPARE = 2
 #: Candidates that a task holds, on average.
 ROWS = 1_000_000
 
@@ -191,18 +194,9 @@ def link_roots(root: np.ndarray, fp: np.ndarray, bits: int = BITS) -> tuple[np.n
     return fp[linked], fp[forest.label[linked]]
 
 
-def blocks_for(bits: int, n_distinct: int) -> int:
-    """Blocks such that a root holds some hundred fingerprints when bits are balanced."""
-    blocks = bits + 1
-    while blocks < bits + 3 and n_distinct >> (64 * (blocks - bits) // blocks) > 512:
-        blocks += 1
-    return blocks
-
-
 def link(fps: DataFrame, bits: int = BITS, blocks: int | None = None) -> DataFrame:
     """(a, b): pairs of distinct fingerprints (column fp) whose closure is that of all links."""
-    n = fps.count()
-    blocks = blocks or blocks_for(bits, n)
+    n, blocks = fps.count(), blocks or bits + SPARE
     cuts = [64 * i // blocks for i in range(blocks + 1)]
     masks = []
     for chosen in combinations(range(blocks), blocks - bits):
