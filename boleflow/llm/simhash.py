@@ -20,7 +20,7 @@ table gives an empty result. Very long texts are hashed whole, in slices.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -46,25 +46,37 @@ SPARE = 2
 ROWS = 1_000_000
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash of the word shingles of a UTF-8 text, A-Z lower-cased."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Hashes of the word shingles of a UTF-8 text, A-Z lower-cased, in slices; none without a word."""
     import xxhash
 
     words = text.lower().split()
     if not words:
-        return 0
+        return
     n = max(1, len(words) - shingle + 1)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
     starts = (ends - size).tolist()
     ends = ends[min(shingle, len(words)) - 1 :].tolist()
-    flat, digest, counts = b" ".join(words), xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    flat, digest = b" ".join(words), xxhash.xxh64_intdigest
     for at in range(0, n, 1 << 16):
-        h = np.array([digest(flat[a:b], SEED) for a, b in zip(starts[at : min(n, at + (1 << 16))], ends[at : at + (1 << 16)], strict=False)], np.uint64)
+        yield np.array([digest(flat[a:b], SEED) for a, b in zip(starts[at : min(n, at + (1 << 16))], ends[at : at + (1 << 16)], strict=False)], np.uint64)
+
+
+def fold(slices: Iterable[np.ndarray]) -> int:
+    """64-bit SimHash of the hashes."""
+    n, counts = 0, np.zeros(64, np.int64)
+    for h in slices:
+        n += len(h)
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash of the word shingles of a UTF-8 text, A-Z lower-cased."""
+    return fold(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
 
