@@ -1,8 +1,9 @@
 """License scan: phrase places, and an exact set-similarity join against templates.
 
-Text blocks (lines of a document) are joined to license templates on token containment:
-a template matches a block that holds at least threshold of the template's distinct
-tokens. Tokens are ordered by their frequency in the whole corpus, rarest first; a match
+Text blocks are joined to license templates on token containment: a template matches a
+block that holds at least threshold of the template's distinct tokens. Blocks are the
+lines of a document and, across line ends, all runs of as many words as the template has,
+so that a wrapped notice is found too. Tokens are ordered by their frequency in the whole corpus, rarest first; a match
 must share a token of the template's prefix (prefix filter), must be long enough (length
 filter) and must be able to reach the overlap from where the tokens meet (positional
 filter). What passes is verified in full, so that the join is exact.
@@ -12,7 +13,7 @@ templates, not by the corpus. The templates are a fixed table and go with the co
 
 Defined cases: null text counts as empty: no word, no label, score 0. Repeated rows are
 scanned one by one and alike. An empty table gives an empty result. Very long texts are
-scanned whole; only lines that share a rare template token are looked at closely.
+scanned whole; only lines and runs that share a rare template token are looked at closely.
 """
 
 from __future__ import annotations
@@ -39,6 +40,11 @@ TEMPLATES = {
         "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products",
     ],
     "cc_by": ["licensed under a creative commons attribution 4 0 international license"],
+    "cc_by_nc": ["licensed under cc by nc 4 0", "creative commons attribution noncommercial"],
+    "cc_by_nc_nd": ["licensed under cc by nc nd 4 0", "creative commons attribution noncommercial noderivatives"],
+    "cc_by_nc_sa": ["licensed under cc by nc sa 4 0", "creative commons attribution noncommercial sharealike"],
+    "cc_by_nd": ["licensed under cc by nd 4 0", "creative commons attribution noderivatives"],
+    "cc_by_sa": ["licensed under cc by sa 4 0", "creative commons attribution sharealike"],
     "gpl": [
         "this work is licensed under the gnu general public license version 3",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
@@ -90,6 +96,7 @@ class Matcher:
     def __init__(self, frequencies: dict[bytes, int], threshold: float = THRESHOLD):
         self.rank = {w: i for i, (_, w) in enumerate(sorted((n, w) for w, n in frequencies.items()))}
         self.templates, self.index = [], {}
+        self.n_words = [len(t.split()) for ts in TEMPLATES.values() for t in ts]
         for label, tokens in _templates():
             ordered = sorted(self.rank[w] for w in tokens)
             need = -(-len(ordered) * round(threshold * 1000) // 1000)
@@ -118,6 +125,28 @@ class Matcher:
         return out
 
 
+    def match_runs(self, found: list[bytes]) -> list[tuple[str, float]]:
+        """(label, containment) of every template that some run of as many words as it has matches."""
+        best: dict[int, int] = {}
+        done: dict[int, int] = {}
+        for at in [i for i, w in enumerate(found) if w in self.prefix_tokens]:
+            for t, _ in self.index[self.rank[found[at]]]:
+                label, tokens, size, need = self.templates[t]
+                n = self.n_words[t]
+                # runs that hold this place and were not looked at for an earlier one
+                first, last = max(0, at - n + 1, done.get(t, 0)), min(at, max(0, len(found) - n))
+                done[t] = max(last + 1, done.get(t, 0))
+                if best.get(t) == size or first > last:
+                    continue
+                ranks = [self.rank.get(w) for w in found[first : last + n]]
+                if len(tokens.intersection(ranks)) < need:
+                    continue
+                for k in range(last - first + 1):
+                    if (shared := len(tokens.intersection(ranks[k : k + n]))) >= need:
+                        best[t] = max(shared, best.get(t, 0))
+        return [(self.templates[t][0], shared / self.templates[t][2]) for t, shared in best.items()]
+
+
 def _phrase_places(found: list[bytes]) -> tuple[list[int], set[str]]:
     starts, labels = [], set()
     at = -1
@@ -152,6 +181,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
                 places, base = _phrase_places(found) if b"license" in flat else ([], set())
                 labels, score = set(base), 1.0 if base else 0.0
                 if not rare.isdisjoint(found):
+                    for label, contained in matcher.match_runs(found):
+                        labels.add(label)
+                        score = max(score, contained)
                     for line in text.split(b"\n"):
                         if any(w in (low := line.translate(_TABLE)) for w in rare):
                             for label, contained in matcher.match(low.split()):
