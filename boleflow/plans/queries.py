@@ -314,7 +314,7 @@ def contour_diameters(s, d):
 
 
 def connect_stems(s, d):
-    p = stem_paths(s, d).filter("stem_id < 1500").select((F.col("stem_id") % 16).alias("group_id"), "path", "diameters")
+    p = stem_paths(s, d).select((F.col("stem_id") % 16).alias("group_id"), "path", "diameters")
     done = connect.connect_groups(p, connect.Config(max_distance=2.0, tolerance_angle=30.0))
     return done.select("group_id", "stem_id", F.size("path").alias("n_nodes"), F.size("diameters").alias("n_diameters"))
 
