@@ -1,9 +1,10 @@
 """Quality rules as weak supervision, in DataFrame and SQL functions only.
 
 Each rule votes good (1), bad (0) or abstains (-1). Expectation-maximisation over the
-distinct vote patterns (at most 3^7 rows, whatever the corpus) estimates the class-
-conditional accuracies of every rule and the share of good documents; the posterior
-probability of good quality decides, not a conjunction of thresholds.
+distinct vote patterns (at most 3^8 rows, whatever the corpus) estimates the accuracies of
+every rule among good and among bad documents, and the share of good ones; the posterior
+probability of good quality decides, not a conjunction of thresholds. One bad vote of a
+rule that errs among good documents is outvoted; bad votes that go together are not.
 
 Defined cases: null text counts as empty, which has no word and fails the base rules.
 Repeated rows are judged one by one and alike. An empty table gives an empty result with
@@ -22,7 +23,7 @@ SYMBOLS = "#*$%&|<>"
 ENDS = ".!?"
 WINDOW = 8
 MIN_WORDS = 20
-RULES = ("length", "word_length", "symbols", "lines", "repeats", "sentences", "digits")
+RULES = ("length", "word_length", "symbols", "lines", "repeats", "sentences", "digits", "marks")
 EM_ROUNDS = 30
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ends", "n_digits")
@@ -91,6 +92,7 @@ def votes() -> Column:
     """One vote for each of RULES: 1 good, 0 bad, -1 abstains."""
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     per_word = F.col("word_chars") / n
+    marks = (F.col("n_symbols") + F.col("n_ends") + F.col("n_digits")) / F.greatest(F.col("word_chars"), F.lit(1))
 
     def vote(good: Column, bad: Column) -> Column:
         return F.when(bad, 0).when(good, 1).otherwise(-1)
@@ -103,32 +105,31 @@ def votes() -> Column:
         vote(F.col("n_repeat_words") == 0, 100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
         vote((F.col("n_ends") / n).between(0.02, 0.4), (F.col("n_ends") == 0) | (F.col("n_ends") > 0.8 * n)),
         vote(F.col("n_digits") <= 0.05 * F.col("word_chars"), F.col("n_digits") > 0.25 * F.col("word_chars")),
+        vote(marks <= 0.04, marks > 0.08),
     )
 
 
 _J = len(RULES)
-#: Latent classes: 0 is good, class k > 0 is the defect that rule k - 1 names.
-_E_STEP = f"""transform(pats, p -> transform(array(transform(sequence(0, {_J}), c -> m.pi[c] *
+#: Pseudo-counts of good and bad votes, by class (0 good, 1 bad): a good document's votes are
+#: thought mostly right, of a bad one's nothing is presumed. Weak: as much as two documents.
+PRIOR = ((1.8, 0.2), (1.0, 1.0))
+_E_STEP = f"""transform(pats, p -> transform(array(transform(sequence(0, 1), c -> m.pi[c] *
     aggregate(sequence(0, {_J - 1}), 1D, (s, j) -> s * CASE p.v[j] WHEN 1 THEN m.g[c * {_J} + j] WHEN 0 THEN 1D - m.g[c * {_J} + j] ELSE 1D END))),
-    w -> named_struct('v', p.v, 'n', p.n, 'q', transform(w, x -> x / aggregate(w, 0D, (s, y) -> s + y))))[0])"""
+    w -> named_struct('v', p.v, 'n', p.n, 'q', transform(w, x -> x / (w[0] + w[1]))))[0])"""
 _M_STEP = f"""named_struct(
-  'pi', transform(sequence(0, {_J}), c -> (aggregate(e, 0D, (s, x) -> s + x.n * x.q[c]) + 1D) / (aggregate(e, 0D, (s, x) -> s + x.n) + {_J + 1}D)),
-  'g', transform(sequence(0, {(_J + 1) * _J - 1}), cj -> transform(array(named_struct('c', cj div {_J}, 'j', cj % {_J})), k ->
-    least(CASE WHEN k.c = k.j + 1 THEN 0.3D ELSE 0.999D END, greatest(CASE WHEN k.c = 0 THEN 0.97D ELSE 0.02D END,
-      (aggregate(e, 0D, (s, x) -> s + CASE WHEN x.v[k.j] = 1 THEN x.n * x.q[k.c] ELSE 0D END) + CASE WHEN k.c = k.j + 1 THEN 0.1D ELSE 1.9D END) /
-      (aggregate(e, 0D, (s, x) -> s + CASE WHEN x.v[k.j] >= 0 THEN x.n * x.q[k.c] ELSE 0D END) + 2D))))[0]))"""
-_START = f"""named_struct('pi', transform(sequence(0, {_J}), c -> CASE WHEN c = 0 THEN 0.8D ELSE {0.2 / _J}D END),
-  'g', transform(sequence(0, {(_J + 1) * _J - 1}), k -> CASE WHEN k div {_J} = 0 THEN 0.98D WHEN k div {_J} = k % {_J} + 1 THEN 0.1D ELSE 0.9D END))"""
+  'pi', transform(sequence(0, 1), c -> (aggregate(e, 0D, (s, x) -> s + x.n * x.q[c]) + CASE c WHEN 0 THEN 8D ELSE 2D END) / (aggregate(e, 0D, (s, x) -> s + x.n) + 10D)),
+  'g', transform(sequence(0, {2 * _J - 1}), k ->
+      (aggregate(e, 0D, (s, x) -> s + CASE WHEN x.v[k % {_J}] = 1 THEN x.n * x.q[k div {_J}] ELSE 0D END) + CASE k div {_J} WHEN 0 THEN {PRIOR[0][0]}D ELSE {PRIOR[1][0]}D END) /
+      (aggregate(e, 0D, (s, x) -> s + CASE WHEN x.v[k % {_J}] >= 0 THEN x.n * x.q[k div {_J}] ELSE 0D END) + CASE k div {_J} WHEN 0 THEN {sum(PRIOR[0])}D ELSE {sum(PRIOR[1])}D END)))"""
+_START = f"""named_struct('pi', array(0.8D, 0.2D), 'g', transform(sequence(0, {2 * _J - 1}), k -> CASE k div {_J} WHEN 0 THEN 0.95D ELSE 0.5D END))"""
 
 
 def fit(voted: DataFrame, rounds: int = EM_ROUNDS) -> dict:
     """Expectation-maximisation in one SQL expression over the pattern counts.
 
-    voted has the column v. A bad document has one main defect, so bad quality is a
-    mixture of as many classes as there are rules, each anchored by its rule (which
-    votes bad there with a chance of 0.7 at least); a rule that has nothing to object
-    then doesn't outvote one that has. Returns pi (shares of the classes) and g (a
-    rule's chance of voting good in a class, given that it votes; by class, then rule).
+    voted has the column v. Two classes, good and bad, and a free accuracy of every rule
+    in either. Returns pi (shares of the classes) and g (a rule's chance of voting good
+    in a class, given that it votes; by class, then rule).
     """
     pats = voted.groupBy("v").agg(F.count("*").cast("double").alias("n"))
     one = pats.agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("pats"))
@@ -139,18 +140,12 @@ def fit(voted: DataFrame, rounds: int = EM_ROUNDS) -> dict:
 
 def posterior(model: dict) -> Column:
     """Probability of good quality under the fitted model, from the column v."""
-
-    def weight(c: int) -> Column:
-        out = F.lit(model["pi"][c])
-        for j in range(_J):
-            g, v = model["g"][c * _J + j], F.col("v")[j]
-            out = out * F.when(v == 1, F.lit(g)).when(v == 0, F.lit(1 - g)).otherwise(F.lit(1.0))
-        return out
-
-    total = weight(0)
-    for c in range(1, _J + 1):
-        total = total + weight(c)
-    return weight(0) / total
+    good, bad = F.lit(model["pi"][0]), F.lit(model["pi"][1])
+    for j in range(_J):
+        g, b, v = model["g"][j], model["g"][_J + j], F.col("v")[j]
+        good = good * F.when(v == 1, F.lit(g)).when(v == 0, F.lit(1 - g)).otherwise(F.lit(1.0))
+        bad = bad * F.when(v == 1, F.lit(b)).when(v == 0, F.lit(1 - b)).otherwise(F.lit(1.0))
+    return good / (good + bad)
 
 
 def verdict(threshold: float = 0.5) -> dict[str, Column]:
@@ -172,13 +167,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
 def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs that judge() keeps, with their own columns.
 
-    The vote patterns are counted in a first pass; the second counts again and filters,
-    so that no text is shuffled and rows that share an id are judged apart.
+    The rows are written once with their votes, so that no text is shuffled or counted
+    twice and rows that share an id are judged apart.
     """
-    model = fit(text_stats(docs.select(F.col(text_col).alias("text")), []).select(votes().alias("v")))
     own = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
-    counted = text_stats(own, ["row"])
-    # a fence: without it the filter would move below the counts and repeat their expressions
-    counted = counted.withColumn("n_words", F.col("n_words") + F.monotonically_increasing_id() * F.lit(0))
-    judged = counted.withColumn("v", votes()).withColumn("quality", posterior(model)).withColumns(verdict(threshold))
+    voted = materialise(text_stats(own, ["row"]).withColumn("v", votes()).select("row", "n_words", "n_repeat_words", "v"))
+    judged = voted.withColumn("quality", posterior(fit(voted))).withColumns(verdict(threshold))
     return judged.filter("kept").select("row.*")
