@@ -10,6 +10,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of one Arrow batch: bounds what a Python worker holds of very long texts.
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 4000
+#: Tasks of a stage; what is dealt to a task is held a piece at a time, so that this bounds no result.
+MOST_TASKS = 100_000
 
 
 def prepare(spark: SparkSession) -> None:
@@ -76,14 +79,20 @@ def discard(table: DataFrame) -> None:
 def shards_for(spark: SparkSession, docs: DataFrame, per_shard: int = 16 << 20) -> int:
     """Shards of about per_shard text bytes each, at least the shuffle partitions.
 
-    The size comes from Catalyst's estimate of the scan, which costs no job.
+    The size comes from Catalyst's estimate of the scan, which costs no job. Shards have a
+    bounded size at every size of the input; tasks_for() says how many tasks share them.
     """
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     try:
         size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
     except Exception:  # no statistics: keep the session's own count
         return least
-    return max(least, min(100_000, size // per_shard)) if size < 1 << 60 else least
+    return min(max(least, size // per_shard), (1 << 31) - 1) if size < 1 << 60 else least
+
+
+def tasks_for(spark: SparkSession, n: int) -> int:
+    """Partitions for n units of work that a task takes one after the other: no more than a driver can schedule."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n, MOST_TASKS))
 
 
 _HELD: dict[str, object] = {}
@@ -101,6 +110,27 @@ def held(key: str, make: Callable[[], object]) -> object:
     return _HELD[key]
 
 
+def whole_keys(batches: Iterator[pa.RecordBatch], key: str, rows: int = 1 << 17) -> Iterator[pa.Table]:
+    """Tables of about so many rows out of batches sorted by key (a long), none of whose values is cut apart."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            t = pa.Table.from_batches(held)
+            k = t.column(key).to_numpy()
+            cut = int(np.searchsorted(k, k[-1]))  # the last value may go on
+            if cut:
+                yield t.slice(0, cut)
+            held = t.slice(cut).to_batches()
+            size = t.num_rows - cut
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def binary(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without a decoding pass."""
     col = batch.column(batch.schema.get_field_index(name))

@@ -1,9 +1,10 @@
 """Removal of every word that lies in a long word sequence that occurs anywhere else too.
 
 Candidates come from anchored windows of words (repeats.py), which confirm what recurs.
-Each shard of documents then compiles the recurring passages that touch it into an
-Aho-Corasick automaton over its words, each passage once however often it occurs, and
-streams all its documents through to locate every occurrence.
+Each shard of documents then compiles the confirmed passages that it has into an
+Aho-Corasick automaton over words: the words of a span, or of the part of it that recurs,
+read at the first place where the shard has it. All its documents are streamed through, and
+the automaton alone locates the occurrences.
 
 Defined cases: null text counts as empty: no word, nothing removed. A document with fewer
 words than the length keeps all. Repeated rows lose all their words if they are long
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,25 +59,78 @@ def resolve(anchor: np.ndarray, weight: np.ndarray, off: np.ndarray, windows: np
     return np.split(again, end[:-1])
 
 
-def symbol(i: int) -> str:
-    """Code point of the i-th word; surrogates are left out."""
-    i += 1
-    return chr(i if i < 0xD800 else i + 0x800)
+#: A word of a passage is WIDTH symbols, of BASE each that no other place has. A node of the
+#: automaton has few branches then, which its look-up goes through in turn, and no
+#: occurrence starts inside a word.
+WIDTH, BASE = 3, 128
+#: Distinct words of one automaton's passages; more go to a further automaton.
+WORDS = BASE**WIDTH
 
 
-def locate(docs: list[list[bytes]], passages: list[tuple[bytes, ...]]) -> list[list[tuple[int, int]]]:
-    """By document, (start, end) of the longest occurrences of passages, from left to right."""
+def symbols(i: int) -> str:
+    return "".join([chr(1 + p * BASE + i // BASE**p % BASE) for p in range(WIDTH)])
+
+
+def automata(passages: Iterable[tuple[bytes, ...]]) -> Iterator[tuple[dict[bytes, str], object]]:
+    """(symbols of its words, automaton): one, or as many as the words call for."""
     import ahocorasick
 
-    if not passages:
-        return [[] for _ in docs]
-    codes: dict[bytes, str] = {}
-    automaton = ahocorasick.Automaton()
+    codes, automaton = {}, ahocorasick.Automaton()
     for p in passages:
-        automaton.add_word("".join([codes.setdefault(w, symbol(len(codes) + 1)) for w in p]), len(p))
-    automaton.make_automaton()
-    other = symbol(0)
-    return [[(at + 1 - n, at + 1) for at, n in automaton.iter_long("".join([codes.get(w, other) for w in words]))] for words in docs]
+        if len(codes) + len(p) > WORDS and codes:
+            automaton.make_automaton()
+            yield codes, automaton
+            codes, automaton = {}, ahocorasick.Automaton()
+        for w in p:
+            if w not in codes:
+                codes[w] = symbols(len(codes))
+        automaton.add_word("".join([codes[w] for w in p]), len(p))
+    if codes:
+        automaton.make_automaton()
+        yield codes, automaton
+
+
+def runs_of_known(codes: dict[bytes, str], words: list[bytes], least: int) -> Iterator[tuple[int, str]]:
+    """(start, symbols) of the longest runs of words that passages have, of least words or more."""
+    found = list(map(codes.get, words))
+    if None not in found:
+        yield 0, "".join(found)
+        return
+    gone = [i for i, c in enumerate(found) if c is None]
+    for a, b in zip([-1, *gone], [*gone, len(found)], strict=True):
+        if b - a > least:
+            yield a + 1, "".join(found[a + 1 : b])
+
+
+def locate(docs: list[list[bytes]], passages: Iterable[tuple[bytes, ...]]) -> list[list[tuple[int, int]]]:
+    """By document, what occurrences of passages cover: (start, end) from left to right."""
+    passages = list(passages)
+    out: list[list[tuple[int, int]]] = [[] for _ in docs]
+    least = min(map(len, passages), default=1)
+    for k, (codes, automaton) in enumerate(automata(passages)):
+        for words, spans in zip(docs, out, strict=True):
+            before = list(spans) if k else []
+            spans.clear()
+            for start, text in runs_of_known(codes, words, least):
+                for at, n in automaton.iter(text):
+                    end = start + (at + 1) // WIDTH
+                    begin = end - n
+                    while spans and spans[-1][1] >= begin:
+                        begin = min(begin, spans.pop()[0])
+                    spans.append((begin, end))
+            if before:
+                spans[:] = union([*before, *spans])
+    return out
+
+
+def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and out[-1][1] >= a:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 #: Words and the white space between them, in turn.
@@ -102,20 +157,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
     def finish(docs_t: pa.Table, verdict_t: pa.Table) -> pa.Table:
         texts, known = texts_of(docs_t), Known(verdict_t, length, gram)
-        passages: dict[tuple[bytes, ...], None] = {}
-        for members, units, starts, s in read_chunks(texts, word_units, length, gram):
-            gone = known.covered(s, len(units))
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-            owner = np.searchsorted(starts, edge[::2], side="right") - 1
-            # a run may end where the next document's begins: cut it there
-            cuts = np.searchsorted(starts, edge[1::2] - 1, side="right") - 1
-            for a, b, first, last in zip(edge[::2].tolist(), edge[1::2].tolist(), owner.tolist(), cuts.tolist(), strict=True):
-                for d in range(first, last + 1):
-                    lo, hi = max(a, int(starts[d])), min(b, int(starts[d + 1]) if d + 1 < len(starts) else b)
-                    words = texts[members[d]].split()
-                    passages[tuple(words[lo - int(starts[d]) : hi - int(starts[d])])] = None
         split = [t.split() for t in texts]
-        places = locate(split, list(passages))
+        passages: dict[tuple[bytes, ...], None] = {}
+        for members, _, starts, s in read_chunks(texts, word_units, length, gram):
+            for a, b in known.places(s):
+                d = int(np.searchsorted(starts, a, side="right")) - 1
+                passages[tuple(split[members[d]][a - int(starts[d]) : b - int(starts[d])])] = None
+        places = locate(split, passages)
         n_removed, kept, sha = [], [], []
         for text, words, spans in zip(texts, split, places, strict=True):
             n_removed.append(sum(b - a for a, b in spans))

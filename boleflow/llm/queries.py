@@ -63,7 +63,8 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(documents(spark, sf_dir)).drop("kept")
+    """kept, the remaining bytes, also as text: a character that a cut parted becomes U+FFFD."""
+    return suffix_dedup.dedup(documents(spark, sf_dir)).withColumn("text", F.expr("make_valid_utf8(cast(kept as string))")).drop("kept")
 
 
 def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, shards_for
+from .common import prepare, shards_for, tasks_for, whole_keys
 
 U = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -175,17 +175,19 @@ LONG, INT, BIN = pa.int64(), pa.int32(), pa.binary()
 VERDICT = "shard int, d1 long, d2 long, flags binary"
 
 
-def verdicts(docs: DataFrame, length: int, gram: int, to_units: Units, payload: Payload, resolve: Resolver, id_col: str, text_col: str, carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def verdicts(docs: DataFrame, length: int, gram: int, to_units: Units, payload: Payload, resolve: Resolver, id_col: str, text_col: str, carry: list[str] | None = None, prove: bool = False) -> tuple[DataFrame, DataFrame]:
     """(dealt documents: shard, doc_id, text, carried; verdicts by shard and span).
 
-    flags has a bit for each window of the span, or is null where all recur.
+    flags has a bit for each window of the span, or is null where all recur. With prove,
+    spans that equal digests call repeated go to the resolver too, in two copies (of two
+    shards where there are two), and only what it finds equal in both counts.
     """
     spark = docs.sparkSession
     prepare(spark)
     n_shards = shards_for(spark, docs, 4 << 20)
-    parts = max(n_shards // 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = tasks_for(spark, n_shards // 2)
     dealt = docs.select(
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_shards)).cast("int").alias("shard"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *(carry or [])).alias("carried")
+        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col).cast("string")), F.lit(n_shards)).cast("int").alias("shard"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *(carry or [])).alias("carried")
     ).repartition(parts, "shard")
 
     def find(t: pa.Table) -> pa.Table:
@@ -200,19 +202,17 @@ def verdicts(docs: DataFrame, length: int, gram: int, to_units: Units, payload:
         shard = t.column("shard")[0].as_py()
         return table({"shard": (np.full(len(at), shard), INT), "a": (a[at], LONG), "d1": (d1[at], LONG), "d2": (d2[at], LONG), "n": (n, INT)})
 
-    found = dealt.groupBy("shard").applyInArrow(find, "shard int, a long, d1 long, d2 long, n int").repartition(parts, "a")
+    found = dealt.groupBy("shard").applyInArrow(find, "shard int, a long, d1 long, d2 long, n int").repartition(parts, "a").sortWithinPartitions("a")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """kind 0: repeated as a whole; 1: asked for; 2: has a span that is asked for elsewhere."""
-        held = list(batches)
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
+        for t in whole_keys(batches, "a"):
+            yield from meet_some(t)
+
+    def meet_some(t: pa.Table) -> Iterator[pa.RecordBatch]:
         a, d1, d2, shard, n = (column(t, c) for c in ("a", "d1", "d2", "shard", "n"))
         order = np.lexsort((shard, d2, d1, a))
         a, d1, d2, shard, n = a[order], d1[order], d2[order], shard[order], n[order].astype(np.int64)
-        if not len(a):
-            return
         new_a = np.ones(len(a), bool)
         new_a[1:] = a[1:] != a[:-1]
         new_d = new_a.copy()
@@ -222,55 +222,72 @@ def verdicts(docs: DataFrame, length: int, gram: int, to_units: Units, payload:
         of_a = np.cumsum(new_a) - 1
         distinct = np.bincount(of_a, new_d)[of_a]
         whole, several = total >= 2, distinct >= 2
-        picked = [(whole, 0), (several & new_d, 1), (several & ~whole, 2)]
+        at_d = np.flatnonzero(new_d)
+        holders_of = np.diff(np.append(at_d, len(a)))[of_d]
+        second = np.arange(len(a)) - at_d[of_d] == 1
+        copies = np.ones(len(a), np.int64)
+        weight = np.minimum(total, 1 << 30)
+        if prove:  # copies of a span: one of either of two shards, or both of one
+            copies[whole & (holders_of == 1)] = 2
+            weight[whole & (holders_of > 1)] -= 1
+            weight[second] = 1
+            picked = [((several | whole) & (new_d | second), 1), (several | whole, 2)]
+        else:
+            picked = [(whole, 0), (several & new_d, 1), (several & ~whole, 2)]
         at = np.concatenate([np.flatnonzero(m) for m, _ in picked])
         kind = np.repeat([k for _, k in picked], [m.sum() for m, _ in picked])
-        out = table({"kind": (kind, INT), "shard": (shard[at], INT), "a": (a[at], LONG), "d1": (d1[at], LONG), "d2": (d2[at], LONG), "n": (np.minimum(total[at], 1 << 30), INT)})
+        out = table({"kind": (kind, INT), "shard": (shard[at], INT), "a": (a[at], LONG), "d1": (d1[at], LONG), "d2": (d2[at], LONG), "n": (weight[at], INT), "copies": (copies[at], INT)})
         yield from out.to_batches(1 << 16)
 
-    met = found.mapInArrow(meet, "kind int, shard int, a long, d1 long, d2 long, n int")
+    met = found.mapInArrow(meet, "kind int, shard int, a long, d1 long, d2 long, n int, copies int")
 
     payload_schema = "shard int, a long, d1 long, d2 long, n int, off int, m int, payload binary"
 
     def fetch(docs_t: pa.Table, asked: pa.Table) -> pa.Table:
         want1, want2 = column(asked, "d1").view(U), column(asked, "d2").view(U)
         order = np.argsort(want1, kind="stable")
-        left = np.ones(len(order), bool)
+        left = column(asked, "copies")[order].astype(np.int64)
+        n = column(asked, "n").astype(np.int64)
         rows: list[tuple] = []
         if len(order):
             for _, units, _, s in read_chunks(texts_of(docs_t), to_units, length, gram):
                 hit = match(want1[order], want2[order], s)
                 for i in np.flatnonzero(hit >= 0):
                     if left[hit[i]]:
-                        left[hit[i]] = False
+                        left[hit[i]] -= 1
                         j = order[hit[i]]
                         f, e = int(s.first[i]), int(s.last[i])
-                        rows.append((j, int(s.anchor_at[i]) - f, e - f + 1, payload(units, f, e)))
+                        rows.append((j, int(s.anchor_at[i]) - f, e - f + 1, payload(units, f, e), int(n[j])))
+                        n[j] = 1 if left[hit[i]] else n[j]  # of two copies the last counts once
+                        if left[hit[i]]:
+                            rows[-1] = (*rows[-1][:4], rows[-1][4] - 1)
         j = np.array([r[0] for r in rows], np.int64)
         pick = lambda c: column(asked, c)[j]
-        return table({"shard": (np.full(len(j), -1), INT), **{c: (pick(c), t) for c, t in (("a", LONG), ("d1", LONG), ("d2", LONG), ("n", INT))}, "off": ([r[1] for r in rows], INT), "m": ([r[2] for r in rows], INT), "payload": ([r[3] for r in rows], BIN)})
+        return table({"shard": (np.full(len(j), -1), INT), **{c: (pick(c), t) for c, t in (("a", LONG), ("d1", LONG), ("d2", LONG))}, "n": ([r[4] for r in rows], INT), "off": ([r[1] for r in rows], INT), "m": ([r[2] for r in rows], INT), "payload": ([r[3] for r in rows], BIN)})
 
     asked = met.filter("kind = 1").drop("kind")
     sent = dealt.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(fetch, payload_schema)
     holders = met.filter("kind = 2").select("shard", "a", "d1", "d2", "n", F.lit(0).alias("off"), F.lit(0).alias("m"), F.lit(None).cast("binary").alias("payload"))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
+        for t in whole_keys(batches, "a", 1 << 14):
+            yield from settle_some(t)
+
+    def settle_some(t: pa.Table) -> Iterator[pa.RecordBatch]:
         shard = column(t, "shard")
         texts = t.filter(pa.array(shard < 0))
         holds = t.filter(pa.array(shard >= 0))
         if not texts.num_rows or not holds.num_rows:
             return
         flags = resolve(column(texts, "a"), column(texts, "n").astype(np.int64), column(texts, "off").astype(np.int64), column(texts, "m").astype(np.int64), texts.column("payload").to_pylist())
-        some = np.array([f.any() for f in flags])
-        index = {(x, y): i for i, (x, y) in enumerate(zip(column(texts, "d1").tolist(), column(texts, "d2").tolist(), strict=True)) if some[i]}
+        index: dict[tuple[int, int], int] = {}
+        for i, d in enumerate(zip(column(texts, "d1").tolist(), column(texts, "d2").tolist(), strict=True)):
+            if (j := index.setdefault(d, i)) != i:
+                flags[j] = flags[j] & flags[i]
         packed: dict[int, bytes] = {}
         out = []
         for s, x, y in zip(column(holds, "shard").tolist(), column(holds, "d1").tolist(), column(holds, "d2").tolist(), strict=True):
-            if (i := index.get((x, y))) is not None:
+            if (i := index.get((x, y))) is not None and flags[i].any():
                 if i not in packed:
                     packed[i] = np.packbits(flags[i]).tobytes()
                 out.append((s, x, y, packed[i]))
@@ -278,7 +295,9 @@ def verdicts(docs: DataFrame, length: int, gram: int, to_units: Units, payload:
             s, x, y, f = zip(*out, strict=True)
             yield from pa.table({"shard": pa.array(s, INT), "d1": pa.array(x, LONG), "d2": pa.array(y, LONG), "flags": pa.array(f, BIN)}).to_batches(1 << 16)
 
-    settled = sent.unionByName(holders).repartition(parts, "a").mapInArrow(settle, VERDICT)
+    settled = sent.unionByName(holders).repartition(parts, "a").sortWithinPartitions("a").mapInArrow(settle, VERDICT)
+    if prove:
+        return dealt, settled
     full = met.filter("kind = 0").select("shard", "d1", "d2", F.lit(None).cast("binary").alias("flags"))
     return dealt, full.unionByName(settled)
 
@@ -300,9 +319,26 @@ class Known:
         self.d1, self.d2, self.length = d1[order], d2[order], length
         flags = t.column("flags").to_pylist()
         self.whole = np.array([flags[i] is None for i in order], bool)
+        self.seen = np.zeros(len(order), bool)
         width = (length - gram + 1 + 7) // 8
         self.flags = np.frombuffer(b"".join((flags[i] or b"").ljust(width, b"\0") for i in order), np.uint8).reshape(len(order), width)
 
+    def places(self, s: Spans) -> Iterator[tuple[int, int]]:
+        """(start, end) in the chunk of what recurs in each span that was not met in an earlier call or place."""
+        hit = match(self.d1, self.d2, s)
+        on = np.flatnonzero(hit >= 0)
+        _, first = np.unique(hit[on], return_index=True)
+        on = on[first][~self.seen[hit[on[first]]]]
+        self.seen[hit[on]] = True
+        for i in on.tolist():
+            at, h = int(s.first[i]), hit[i]
+            if self.whole[h]:
+                yield at, int(s.last[i]) + self.length
+                continue
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], np.unpackbits(self.flags[h]), [0]]).astype(np.int8))).tolist()
+            for a, b in zip(edge[::2], edge[1::2], strict=True):
+                yield at + a, at + b - 1 + self.length
+
     def covered(self, s: Spans, n: int) -> np.ndarray:
         """Which of a chunk's n units lie in a repeated window."""
         hit = match(self.d1, self.d2, s)

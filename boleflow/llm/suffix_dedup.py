@@ -1,7 +1,7 @@
 """Removal of every byte that lies in a long string that starts anywhere else too.
 
-Candidates come from anchored windows (repeats.py). Around an anchor that several spans
-share, the suffixes that start at the anchor, and the reversed prefixes that end there,
+Candidates come from anchored windows (repeats.py): one copy of each span whose anchor has
+several spans, and two of each span that occurs twice. Around an anchor the suffixes that start at the anchor, and the reversed prefixes that end there,
 are sorted by a mergesort whose comparisons are logarithmic: prefix polynomial hashes
 and a binary search give the common extension of two suffixes, and one byte decides.
 Neighbours' common extensions are verified byte by byte. Two windows are equal where the
@@ -147,8 +147,8 @@ def byte_units(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """One row a document, SCHEMA and text, the remaining bytes concatenated."""
-    dealt, found = verdicts(docs, length, gram, byte_units, lambda u, f, e: u[f : e + length].tobytes(), resolve(length, gram), id_col, text_col)
+    """One row a document: SCHEMA and kept, the remaining bytes concatenated (a cut may part a character's bytes)."""
+    dealt, found = verdicts(docs, length, gram, byte_units, lambda u, f, e: u[f : e + length].tobytes(), resolve(length, gram), id_col, text_col, prove=True)
 
     def finish(docs_t: pa.Table, verdict_t: pa.Table) -> pa.Table:
         texts, known = texts_of(docs_t), Known(verdict_t, length, gram)

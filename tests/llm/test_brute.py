@@ -441,3 +441,49 @@ def test_viterbi_is_the_best_segmentation(codec):
 def test_sentencepiece_query(spark, docs):
     got = by_id(queries.op8_sentencepiece(spark, DATA))
     assert len(got) == len(docs) and all(r["round_trip"] for r in got.values())
+
+
+def test_places_do_not_depend_on_what_digests_located(spark):
+    """Only the first place of a span in a shard is compiled: the automaton finds the others, also parts of passages."""
+    rng = np.random.default_rng(3)
+    w = [f"w{i}".encode() for i in range(60)]
+    docs = [w[:30], [b"x", *w[5:20], b"y", *w[5:17]], [*w[40:], *w[:9]], []]
+    got = phrase_dedup.locate(docs, [tuple(w[5:17]), tuple(w[8:20]), tuple(w[40:60])])
+    assert got == [[(5, 20)], [(1, 16), (17, 29)], [(0, 20)], []]
+    for _ in range(200):  # several automata give what one gives
+        words = [bytes([97 + int(c)]) for c in rng.integers(0, 5, 60)]
+        passages = [tuple(words[a : a + n]) for a, n in zip(rng.integers(0, 50, 6).tolist(), rng.integers(2, 9, 6).tolist(), strict=True)]
+        want = np.zeros(60, bool)
+        for p in passages:
+            for i in range(61 - len(p)):
+                if tuple(words[i : i + len(p)]) == p:
+                    want[i : i + len(p)] = True
+        for limit in (phrase_dedup.BASE**phrase_dedup.WIDTH, 3):
+            old, phrase_dedup.WORDS = phrase_dedup.WORDS, limit
+            try:
+                cover = np.zeros(60, bool)
+                for a, b in phrase_dedup.locate([words], passages)[0]:
+                    cover[a:b] = True
+            finally:
+                phrase_dedup.WORDS = old
+            assert (cover == want).all()
+
+
+def test_equal_digests_are_proved_by_bytes():
+    """Two texts under one digest that differ: no window counts that isn't equal in both."""
+    run = suffix_dedup.resolve(8, 4)
+    same = run(np.zeros(2, np.int64), np.ones(2, np.int64), np.array([2, 2]), np.array([3, 3]), [b"abcdefghij", b"abcdefghij"])
+    assert all(f.all() for f in same)
+    apart = run(np.zeros(2, np.int64), np.ones(2, np.int64), np.array([2, 2]), np.array([3, 3]), [b"abcdefghij", b"abcdefgXij"])
+    assert not any(f.any() for f in apart)
+
+
+def test_tables_of_whole_keys():
+    import pyarrow as pa
+
+    from boleflow.llm.common import whole_keys
+
+    keys = np.sort(np.random.default_rng(0).integers(-50, 50, 3000))
+    batches = pa.table({"k": keys}).to_batches(max_chunksize=70)
+    parts = [t.column("k").to_numpy() for t in whole_keys(iter(batches), "k", 200)]
+    assert (np.concatenate(parts) == keys).all() and all(a[-1] < b[0] for a, b in zip(parts, parts[1:]))
