@@ -2,9 +2,9 @@
 
 Candidates come from anchored windows of words (repeats.py), which confirm what recurs.
 Each shard of documents then compiles the confirmed passages that it has into an
-Aho-Corasick automaton over words: the words of a span, or of the part of it that recurs,
-read at the first place where the shard has it. All its documents are streamed through, and
-the automaton alone locates the occurrences.
+Aho-Corasick automaton over words: a span, the part of one that recurs, or spans that only
+occur in a chain, read at one place of the shard. All its documents are streamed through,
+and the automaton alone locates the occurrences.
 
 Defined cases: null text counts as empty: no word, nothing removed. A document with fewer
 words than the length keeps all. Repeated rows lose all their words if they are long
@@ -159,10 +159,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         texts, known = texts_of(docs_t), Known(verdict_t, length, gram)
         split = [t.split() for t in texts]
         passages: dict[tuple[bytes, ...], None] = {}
-        for members, _, starts, s in read_chunks(texts, word_units, length, gram):
-            for a, b in known.places(s):
-                d = int(np.searchsorted(starts, a, side="right")) - 1
-                passages[tuple(split[members[d]][a - int(starts[d]) : b - int(starts[d])])] = None
+        chunks = [(members, starts, s) for members, _, starts, s in read_chunks(texts, word_units, length, gram)]
+        for c, a, b in known.passages([(starts, s) for _, starts, s in chunks]):
+            members, starts, _ = chunks[c]
+            d = int(np.searchsorted(starts, a, side="right")) - 1
+            passages[tuple(split[members[d]][a - int(starts[d]) : b - int(starts[d])])] = None
         places = locate(split, passages)
         n_removed, kept, sha = [], [], []
         for text, words, spans in zip(texts, split, places, strict=True):

@@ -319,25 +319,46 @@ class Known:
         self.d1, self.d2, self.length = d1[order], d2[order], length
         flags = t.column("flags").to_pylist()
         self.whole = np.array([flags[i] is None for i in order], bool)
-        self.seen = np.zeros(len(order), bool)
         width = (length - gram + 1 + 7) // 8
         self.flags = np.frombuffer(b"".join((flags[i] or b"").ljust(width, b"\0") for i in order), np.uint8).reshape(len(order), width)
 
-    def places(self, s: Spans) -> Iterator[tuple[int, int]]:
-        """(start, end) in the chunk of what recurs in each span that was not met in an earlier call or place."""
-        hit = match(self.d1, self.d2, s)
-        on = np.flatnonzero(hit >= 0)
-        _, first = np.unique(hit[on], return_index=True)
-        on = on[first][~self.seen[hit[on[first]]]]
-        self.seen[hit[on]] = True
-        for i in on.tolist():
-            at, h = int(s.first[i]), hit[i]
-            if self.whole[h]:
-                yield at, int(s.last[i]) + self.length
-                continue
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], np.unpackbits(self.flags[h]), [0]]).astype(np.int8))).tolist()
-            for a, b in zip(edge[::2], edge[1::2], strict=True):
-                yield at + a, at + b - 1 + self.length
+    def passages(self, chunks: list[tuple[np.ndarray, Spans]]) -> Iterator[tuple[int, int, int]]:
+        """(chunk, start, end): one place of every passage of a shard; chunks are its (document starts, spans).
+
+        A passage is a span, or the part of one that recurs, or a chain of spans that follow
+        each other wherever any of them occurs in the shard: so each occurrence of a span is
+        in an occurrence of its passage.
+        """
+        n = len(self.d1)
+        hits = [match(self.d1, self.d2, s) for _, s in chunks]
+        full = [(h >= 0) & self.whole[h] if n else np.zeros(len(h), bool) for h in hits]
+        after, before = (np.full(n, n), np.full(n, -2)), (np.full(n, n), np.full(n, -2))
+        for (starts, s), h, on in zip(chunks, hits, full, strict=True):
+            owner = np.searchsorted(starts, s.first, side="right")
+            follows = on[:-1] & on[1:] & (owner[:-1] == owner[1:])
+            for (least, most), other in ((after, np.append(np.where(follows, h[1:], -1), -1)), (before, np.append(-1, np.where(follows, h[:-1], -1)))):
+                if len(h):
+                    np.minimum.at(least, h[on], other[: len(h)][on])
+                    np.maximum.at(most, h[on], other[: len(h)][on])
+        chained = np.flatnonzero((after[0] == after[1]) & (after[0] >= 0))
+        mutual = chained[(before[0][after[0][chained]] == chained) & (before[1][after[0][chained]] == chained)]
+        goes_on, begun = np.zeros(n, bool), np.zeros(n, bool)
+        goes_on[mutual] = True
+        begun[after[0][mutual]] = True  # inside a chain: never a passage's first span
+        for c, ((_, s), h, on) in enumerate(zip(chunks, hits, full, strict=True)):
+            heads = np.flatnonzero(h >= 0)
+            heads = heads[~begun[h[heads]]]
+            _, first = np.unique(h[heads], return_index=True)
+            begun[h[heads]] = True
+            stops = np.flatnonzero(~(on & goes_on[h])) if n else heads
+            for i in heads[first].tolist():
+                at = int(s.first[i])
+                if on[i]:
+                    yield c, at, int(s.last[stops[np.searchsorted(stops, i)]]) + self.length
+                    continue
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], np.unpackbits(self.flags[h[i]]), [0]]).astype(np.int8))).tolist()
+                for a, b in zip(edge[::2], edge[1::2], strict=True):
+                    yield c, at + a, at + b - 1 + self.length
 
     def covered(self, s: Spans, n: int) -> np.ndarray:
         """Which of a chunk's n units lie in a repeated window."""
