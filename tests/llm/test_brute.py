@@ -50,11 +50,46 @@ def test_url_rules(spark):
 def test_url_models_tell_kinds_apart(spark):
     rows = [(f"http://shop{i % 17}.example.com/sale/{i}", 0) for i in range(400)] + [(f"http://wiki{i % 13}.example.org/article/{i}", 1) for i in range(400)]
     df = spark.createDataFrame(rows, "url string, y int")
-    counts = url_filter.count(df.filter("hash(url) % 2 = 0"), "url", "y")
-    scored = url_filter.with_score(df.filter("hash(url) % 2 <> 0"), counts, "url", ["y"])
-    cut = url_filter.calibrate(scored)
-    got = scored.collect()
-    assert sum((r["score"] >= cut) == bool(r["y"]) for r in got) >= 0.98 * len(got)
+    urls = url_filter.distinct_urls(df.withColumn("y", F.expr("if(pmod(xxhash64(url), 4) = 0, null, y)")), "url", "y")
+    scored = urls.join(url_filter.with_score(urls, url_filter.ratios(url_filter.count(urls))), "uid")
+    cut = url_filter.calibrate(scored.filter("y is not null").select("y", "n", "score"))
+    truth, got = dict(rows), scored.filter("y is null").collect()
+    assert sum((r["score"] >= cut) == bool(truth[r["url"]]) for r in got) >= 0.98 * len(got) > 100
+
+
+def test_url_scores_are_the_plain_models(spark):
+    """Exact counts of every order, backed off, against plain Python; hot and other windows alike."""
+    rng = np.random.default_rng(1)
+    pool = ["http://a.b/" + "".join(rng.choice(list("abé/"), int(rng.integers(0, 12)))) for _ in range(40)] + ["", "x"]
+    rows = [(pool[i], int(y) if y >= 0 else None) for i, y in zip(rng.integers(0, len(pool), 150), rng.integers(-1, 2, 150), strict=True)]
+    label = {u: max((y for v, y in rows if v == u and y is not None), default=None) for u, _ in rows}
+    times = Counter(u for u, _ in rows)
+    order = 3
+    joint, context = [Counter(), Counter()], [Counter(), Counter()]
+    for u, n in times.items():
+        if label[u] is not None:
+            t = url_filter.PAD * order + u
+            for i in range(order, len(t)):
+                for k in range(order + 1):
+                    joint[label[u]][t[i - k : i + 1]] += n
+                    context[label[u]][k, t[i - k : i]] += n
+
+    def score(u):
+        t, out = url_filter.PAD * order + u, 0.0
+        for i in range(order, len(t)):
+            for y, sign in ((1, 1), (0, -1)):
+                p = url_filter.BASE
+                for k in range(order + 1):
+                    p = (joint[y][t[i - k : i + 1]] + 2 * p) / (context[y][k, t[i - k : i]] + 2)
+                out += sign * math.log(p)
+        return out / len(u)
+
+    urls = url_filter.distinct_urls(spark.createDataFrame(rows, "u string, y int"), "u", "y")
+    model = url_filter.ratios(url_filter.count(urls, order), order)
+    for hot in (1, 50, 10**9):
+        got = {r["url"]: r["score"] for r in urls.join(url_filter.with_score(urls, model, order, hot), "uid").collect()}
+        assert got.keys() == {u for u in times if u}
+        assert all(math.isclose(got[u], score(u), abs_tol=1e-9) for u in got)
 
 
 # --- 2 ---------------------------------------------------------------------------------
