@@ -7,8 +7,12 @@ from expectation-maximisation (forward-backward) over the words of a bounded sam
 labelled documents: sample_docs a language, chosen by a hash of the id.
 
 Words are runs of letters, lower-cased, with the vocabulary's word-start mark in front.
-All words of a text count. A word met before costs a look-up, so that the recursion runs
-over the distinct words of what a worker sees.
+All words of a text count, and all pieces of the vocabulary. A word met before costs a
+look-up, so that the recursion runs over the distinct words of what a worker sees.
+
+Beside the posterior, which only weighs the learnt languages against each other, there is
+an absolute measure: the log probability a character under the best language. Texts of
+junk, or in a language that was not learnt, lie far below that of labelled texts.
 
 Defined cases: null text, and text without a letter: language und, score 0. Ties go to
 the first language in sorted order. Repeated rows are judged one by one and alike. An
@@ -30,8 +34,12 @@ from .common import arrow_map, held
 
 SAMPLE_DOCS = 200
 EM_ROUNDS = 3
-#: Characters of a piece at most; longer pieces of the vocabulary are left out.
-LONGEST = 8
+#: Letters of a run that training takes at once; longer runs are learnt in slices of so many.
+SLICE = 40
+#: How far a text's log probability a character may lie below its language's mean (see floors).
+MARGIN = 1.25
+#: Words from which on a text is long enough for that.
+ENOUGH = 20
 #: Probability of a single character that is no piece of the vocabulary.
 FLOOR = 1e-7
 UNKNOWN = "und"
@@ -51,12 +59,12 @@ def words(text: str) -> list[str]:
 
 
 def vocabulary(path: str) -> list[str]:
-    """Pieces of letters alone, with or without the word-start mark, up to LONGEST characters."""
+    """Pieces of letters alone, with or without the word-start mark."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    return sorted({p for p in pieces if len(p) <= LONGEST and (p.lstrip(START).isalpha() or p == START) and p == p.lower()})
+    return sorted({p for p in pieces if (p.lstrip(START).isalpha() or p == START) and p == p.lower()})
 
 
 class Segmenter:
@@ -67,6 +75,7 @@ class Segmenter:
         order = np.argsort(keys)
         self.keys, self.rows = keys[order], order + 1  # row 0: no piece
         self.n = len(pieces) + 1
+        self.longest = max(map(len, pieces), default=1)
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -75,9 +84,8 @@ class Segmenter:
             h = (h * int(_BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
         return h
 
-    def blocks(self, found: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(indices, characters as a matrix) of words of one length."""
-        marked = [START + w for w in found]
+    def blocks(self, marked: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(indices, characters as a matrix) of words of one length, which have their marks."""
         sizes = np.array([len(w) for w in marked])
         order = np.argsort(sizes, kind="stable")
         cuts = np.flatnonzero(np.diff(sizes[order])) + 1
@@ -91,7 +99,7 @@ class Segmenter:
         """Piece rows (0: none) of the substrings of 1, 2, ... characters from i."""
         h, out = np.zeros(len(chars), np.uint64), []
         with np.errstate(over="ignore"):
-            for k in range(i, min(i + LONGEST, chars.shape[1])):
+            for k in range(i, min(i + self.longest, chars.shape[1])):
                 h = h * _BASE + (chars[:, k].astype(np.uint64) + np.uint64(1))
                 at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
                 out.append(np.where(self.keys[at] == h, self.rows[at], 0))
@@ -100,13 +108,14 @@ class Segmenter:
     def forward(self, found: list[str], p: np.ndarray) -> np.ndarray:
         """Log probabilities, words by languages; p: pieces (row 0: none) by languages."""
         out = np.empty((len(found), p.shape[1]))
-        for part, chars in self.blocks(found):
+        for part, chars in self.blocks([START + w for w in found]):
             n, size = chars.shape
-            ring = np.zeros((LONGEST + 1, n, p.shape[1]))
+            turn = min(self.longest, size) + 1
+            ring = np.zeros((turn, n, p.shape[1]))
             ring[0] = 1
             scale = np.zeros(n)
             for i in range(size):
-                here = ring[i % (LONGEST + 1)]
+                here = ring[i % turn]
                 if i % 8 == 0 and i:  # keep long words in range; one factor for all languages
                     top = np.maximum(ring.max(axis=(0, 2)), 1e-300)
                     ring /= top[None, :, None]
@@ -115,13 +124,13 @@ class Segmenter:
                     q = p[rows]
                     if k == 1:
                         q = np.maximum(q, FLOOR)
-                    ring[(i + k) % (LONGEST + 1)] += here * q
+                    ring[(i + k) % turn] += here * q
                 here[:] = 0
-            out[part] = np.log(np.maximum(ring[size % (LONGEST + 1)], 1e-300)) + scale[:, None]
+            out[part] = np.log(np.maximum(ring[size % turn], 1e-300)) + scale[:, None]
         return out
 
     def expected(self, found: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Expected piece counts of one language's words under p (a vector over pieces)."""
+        """Expected piece counts of one language's words, with their marks, under p (a vector over pieces)."""
         total = np.zeros(self.n)
         for part, chars in self.blocks(found):
             n, size = chars.shape
@@ -147,8 +156,12 @@ def train(samples: dict[str, list[str]], pieces: list[str], rounds: int = EM_ROU
     segmenter, langs, columns = Segmenter(pieces), sorted(samples), []
     for lang in langs:
         counted = Counter(w for text in samples[lang] for w in words(text))
-        found = [w for w in counted if len(w) <= 40]
-        counts = np.array([counted[w] for w in found], float)
+        sliced: Counter[str] = Counter()
+        for w, n in counted.items():
+            for at in range(0, len(w), SLICE):
+                sliced[START * (at == 0) + w[at : at + SLICE]] += n
+        found = list(sliced)
+        counts = np.array([sliced[w] for w in found], float)
         p = np.full(segmenter.n, 1 / segmenter.n)
         for _ in range(rounds if found else 0):
             e = segmenter.expected(found, counts, p) + 0.05
@@ -159,6 +172,23 @@ def train(samples: dict[str, list[str]], pieces: list[str], rounds: int = EM_ROU
     return langs, np.stack(columns, 1) if columns else np.zeros((segmenter.n, 0))
 
 
+def floors(samples: dict[str, list[str]], model: tuple[list[str], np.ndarray], pieces: list[str], margin: float = MARGIN) -> np.ndarray:
+    """By language, the log probability a character that a text of ENOUGH words must reach.
+
+    It lies below the mean of the labelled texts of the language by margin, or by twice
+    the distance of the least of them, if that is more.
+    """
+    (langs, p), segmenter, out = model, Segmenter(pieces), []
+    for k, lang in enumerate(langs):
+        split = [ws for t in samples[lang] if len(ws := words(t)) >= ENOUGH]
+        found = list({w for ws in split for w in ws})
+        score = dict(zip(found, segmenter.forward(found, p[:, k : k + 1])[:, 0], strict=True)) if found else {}
+        each = [sum(score[w] for w in ws) / sum(len(w) + 1 for w in ws) for ws in split]
+        mean = float(np.mean(each)) if each else 0.0
+        out.append(mean - max(margin, 2 * (mean - min(each))) if each else -np.inf)
+    return np.array(out)
+
+
 def sample(labelled: DataFrame, id_col: str, lang_col: str, per_lang: int = SAMPLE_DOCS) -> DataFrame:
     """About per_lang rows of each language: those with the smallest hashes of the id.
 
@@ -173,17 +203,26 @@ def sample(labelled: DataFrame, id_col: str, lang_col: str, per_lang: int = SAMP
     return labelled.filter(take)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], pieces: list[str], keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns keep, lang_pred and score: the language's posterior, all alike before."""
-    langs, p = model
+Model = tuple[list[str], np.ndarray, np.ndarray]
+
+
+def judged(docs: DataFrame, model: Model, pieces: list[str], keep: list[str], text_col: str = "text") -> DataFrame:
+    """own (a struct of the columns keep), lang_pred, score, log_prob and typical.
+
+    score is the language's posterior, all alike before; log_prob is the log probability a
+    character (null without a word); typical is false if a text of ENOUGH words or more is
+    less probable than the language's floor allows.
+    """
+    langs, p, floor = model
     key = f"langid {hash((tuple(langs), p.tobytes()))}"
+    inside = text_col in keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = Segmenter(pieces)
         index, scores = held(key, lambda: ({}, [np.empty((0, len(langs)))]))
         for batch in batches:
-            texts = batch.column(at_text).to_pylist()
-            out_lang, out_score = [], []
+            texts = (batch.column(0).field(text_col) if inside else batch.column(1)).cast(pa.string()).to_pylist()
+            out_lang, out_score, out_log, out_typical = [], [], [], []
             for at in range(0, len(texts), 64):
                 if len(index) > CACHE:
                     index.clear()
@@ -197,24 +236,33 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], pieces: list[s
                     if not ws or not langs:
                         out_lang.append(UNKNOWN)
                         out_score.append(0.0)
+                        out_log.append(None)
+                        out_typical.append(False)
                         continue
                     s = scores[0][np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))].sum(0)
                     best = int(s.argmax())
                     out_lang.append(langs[best])
                     out_score.append(float(1 / np.exp(s - s[best]).sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out_lang, pa.string()), pa.array(out_score, pa.float64())], names=[*keep, "lang_pred", "score"])
+                    out_log.append(float(s[best]) / (sum(map(len, ws)) + len(ws)))
+                    out_typical.append(len(ws) < ENOUGH or bool(out_log[-1] >= floor[best]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out_lang, pa.string()), pa.array(out_score, pa.float64()), pa.array(out_log, pa.float64()), pa.array(out_typical, pa.bool_())], names=["own", "lang_pred", "score", "log_prob", "typical"])
+
+    own = F.struct(*keep).alias("own")
+    chosen = docs.select(own) if inside else docs.select(own, F.col(text_col).cast("string").alias("t"))
+    return arrow_map(chosen, run, f"own {chosen.schema['own'].dataType.simpleString()}, lang_pred string, score double, log_prob double, typical boolean")
+
 
-    chosen = docs.select(*keep) if text_col in keep else docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chosen.schema[: len(keep)])
-    at_text = keep.index(text_col) if text_col in keep else len(keep)
-    return arrow_map(chosen, run, f"{schema}lang_pred string, score double")
+def predict(docs: DataFrame, model: Model, pieces: list[str], keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns keep, lang_pred, score, log_prob and typical (see judged)."""
+    return judged(docs, model, pieces, keep, text_col).select("own.*", "lang_pred", "score", "log_prob", "typical")
 
 
-def fit(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_DOCS) -> tuple[tuple[list[str], np.ndarray], list[str]]:
-    """(model, pieces) from labelled documents; a bounded sample comes to the driver."""
+def fit(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_DOCS) -> tuple[Model, list[str]]:
+    """(languages, piece probabilities, floors) and the pieces, from labelled documents; a bounded sample comes to the driver."""
     pieces = vocabulary(vocabulary_path)
     rows = sample(docs.filter(F.col(text_col).isNotNull()), id_col, lang_col, per_lang).select(lang_col, text_col).collect()
     samples: dict[str, list[str]] = {}
     for lang, text in rows:
         samples.setdefault(lang, []).append(text)
-    return train(samples, pieces), pieces
+    model = train(samples, pieces)
+    return (*model, floors(samples, model, pieces)), pieces

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from . import langid, license_scan, packing, phrase_dedup, quality, sentencepiece_codec, simhash, suffix_dedup, topk, url_filter
 from .common import documents
 
-#: Where the public tokenizers' vocabulary files are; None asks the installed package.
-TOKENIZER: str | None = None
+#: Vocabulary files by name, for those that are elsewhere than the installed package says.
+TOKENIZERS: dict[str, str] = {}
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
-    if TOKENIZER:
-        return TOKENIZER
+    if name in TOKENIZERS:
+        return TOKENIZERS[name]
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -51,7 +51,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model, pieces = langid.fit(docs.filter(~held_out()), tokenizer_path("piece_bpe_32k.model"))
-    return langid.predict(docs, model, pieces, ["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs, model, pieces, ["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "log_prob")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

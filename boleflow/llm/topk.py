@@ -7,10 +7,11 @@ SEGMENTS * (s + 1) - 1 bits have been met; once the k-th verified distance is no
 than that, the block's answer is exact, ties included. Blocks' answers are merged by
 an aggregation with k rows a query and block. No cap is set on candidates.
 
-Queries go to each block in turn: the stated query set meets all rows in blocks.
+The stated query set meets all rows in blocks. A task holds one block of rows and one group
+of queries, both of a bounded size; a group's rows are dealt once for each group of queries.
 
-Defined cases: a null vector has no code and is neither found nor asked for. Missing
-values count as not positive. Ties go to the lesser id; repeated rows are found one by
+Defined cases: a null vector has no code, and neither it nor a row without an id is found or asked for. A
+query that is there twice is asked once. Missing values count as not positive. Ties go to the lesser id; repeated rows are found one by
 one. With fewer than k rows a query gets them all. An empty table gives an empty result.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import prepare
+from .common import prepare, tasks_for
 
 K = 10
 BITS = 64
@@ -33,13 +34,16 @@ WIDTH = BITS // SEGMENTS
 #: Rows of a block, and queries that a block searches at once.
 BLOCK_ROWS = 200_000
 QUERY_ROWS = 256
+#: Queries of a group: what a task holds of them.
+GROUP_ROWS = 100_000
 SCHEMA = "query_id long, vec_id long, distance int"
 
 
 def sign_code(vector: Column) -> Column:
-    """Bit i is set where value i is positive; 64 values at most."""
+    """Bit i is set where value i is positive. A vector of more than 64 values fails: it is never cut."""
+    fits = F.when(F.size(vector) > BITS, F.raise_error(F.lit(f"a code has {BITS} bits: a vector has more values"))).otherwise(vector)
     return F.aggregate(
-        F.slice(vector, 1, BITS),
+        fits,
         F.struct(F.lit(0).cast("long").alias("c"), F.lit(0).alias("i")),
         lambda a, v: F.struct(a["c"].bitwiseOR(F.when(v > 0, F.call_function("shiftleft", F.lit(1).cast("long"), a["i"])).otherwise(F.lit(0).cast("long"))).alias("c"), (a["i"] + 1).alias("i")),
     )["c"]
@@ -105,13 +109,16 @@ class Index:
         return tuple(np.concatenate(x) for x in zip(*done, strict=True))
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int = K, group_rows: int = GROUP_ROWS) -> DataFrame:
     """rows (vec_id, code) and queries (query_id, code): the k nearest of each query, by rank."""
     spark = rows.sparkSession
     prepare(spark)
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, -(-rows.count() // BLOCK_ROWS))
-    dealt = rows.filter("code IS NOT NULL").select(F.pmod(F.xxhash64("vec_id", "code"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "code")
-    asked = queries.filter("code IS NOT NULL").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "query_id", "code")
+    groups = max(1, -(-queries.count() // group_rows))
+    tasks = tasks_for(spark, blocks * groups)  # said, so that blocks are not folded into one task
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    dealt = rows.filter("code IS NOT NULL AND vec_id IS NOT NULL").select(F.pmod(F.xxhash64("vec_id", "code"), F.lit(blocks)).cast("int").alias("block"), every(groups, "part"), "vec_id", "code").repartition(tasks, "block", "part")
+    asked = queries.filter("code IS NOT NULL AND query_id IS NOT NULL").select("query_id", "code").distinct().select(every(blocks, "block"), F.pmod(F.xxhash64("query_id", "code"), F.lit(groups)).cast("int").alias("part"), "query_id", "code").repartition(tasks, "block", "part")
 
     def run(base: pa.Table, query: pa.Table) -> pa.Table:
         got = []
@@ -124,7 +131,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         q, v, d = (np.concatenate(x) for x in zip(*got, strict=True)) if got else [np.zeros(0, np.int64)] * 3
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "distance": pa.array(d, pa.int32())})
 
-    near = dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(run, SCHEMA)
+    near = dealt.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(run, SCHEMA)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.col("distance").cast("long").alias("distance"))
 

@@ -183,6 +183,34 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(far).all()
 
 
+def test_all_pieces_and_all_words_are_learnt():
+    """Pieces longer than eight characters, and runs longer than a slice."""
+    long_piece, run = START_PIECE, "abcdefgh" * 30
+    langs, p = langid.train({"x": [f"{long_piece[1:]} " * 50 + run], "y": ["zz " * 50]}, [long_piece, "abcdefgh", "▁a", "a", "z", "▁z"])
+    assert langs == ["x", "y"] and p[1, 0] > 0.3 and p[2, 0] > 0.1  # rows follow the pieces
+    s = langid.Segmenter([long_piece, "abcdefgh", "▁a", "a", "z", "▁z"]).forward([long_piece[1:], run], p)
+    assert s[0, 0] > s[0, 1] and s[1, 0] > s[1, 1]
+
+
+START_PIECE = "▁abcdefghijklmno"
+
+
+def test_junk_and_unlearnt_languages_are_not_typical(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model, pieces = langid.fit(docs, queries.tokenizer_path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(2)
+    junk = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(2, 10)))) for _ in range(60)) for _ in range(30)]
+    foreign = [
+        "Questa è una frase scritta in lingua italiana che parla di molte cose e non dovrebbe essere confusa con altre lingue del mondo perché le parole sono diverse",
+        "To jest polski tekst o pogodzie i ludziach którzy codziennie jeżdżą do pracy rowerem albo pociągiem przez miasto i wracają wieczorem do swoich domów",
+        "Это русский текст о погоде и людях которые каждый день ездят на работу на поезде или на велосипеде через город и возвращаются вечером домой",
+    ]
+    own = spark.createDataFrame([(i, t) for i, t in enumerate(junk + foreign)], "doc_id long, text string")
+    assert not any(r["typical"] for r in langid.predict(own, model, pieces, ["doc_id"]).collect())
+    said = langid.predict(docs.filter("lang is not null and text is not null"), model, pieces, ["doc_id"]).filter("lang_pred <> 'und'").collect()
+    assert sum(r["typical"] for r in said) >= 0.998 * len(said)
+
+
 # --- 4 ---------------------------------------------------------------------------------
 
 
@@ -430,7 +458,7 @@ def test_topk(spark, n, k):
     rows = spark.createDataFrame([(i, int(c.astype(np.int64))) for i, c in enumerate(codes)], "vec_id long, code long")
     asked = rows.filter("vec_id % 50 = 0").toDF("query_id", "code")
     got = defaultdict(list)
-    for r in topk.search(rows, asked, k).orderBy("query_id", "rank").collect():
+    for r in topk.search(rows, asked, k, 30).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["distance"], r["vec_id"]))
     for q in range(0, n, 50):
         d = np.bitwise_count(codes ^ codes[q])

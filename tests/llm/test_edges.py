@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from boleflow.llm import langid, license_scan, packing, phrase_dedup, quality, simhash, suffix_dedup, url_filter
+from boleflow.llm import langid, license_scan, packing, phrase_dedup, quality, sentencepiece_codec, simhash, suffix_dedup, topk, url_filter
 from boleflow.llm.queries import tokenizer_path
 
 LONG = " ".join(f"word{i % 977}x{i}" for i in range(20000))
@@ -74,6 +74,25 @@ def test_filters_keep_columns_and_rows(spark):
     assert quality.keep_good(table(spark, [])).count() == 0
 
 
+def test_topk_edges(spark):
+    rows = [(1, None), (2, []), (3, [1.0, -1.0]), (3, [1.0, -1.0]), (4, [None, 1.0]), (None, [1.0] * 64)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(7) for c in ["code", "block", "part", "query_id", "distance", "rank", "i", "c"]})
+    coded = topk.coded(d)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["distance"]) for r in topk.search(coded, coded.filter("vec_id = 3").toDF("query_id", "code"), 4).collect())
+    want = [(3, 1, 3, 0), (3, 2, 3, 0), (3, 3, 2, 1), (3, 4, 4, 2)]
+    assert got == want  # the query row is there twice and asked once
+    assert topk.search(coded.limit(0), coded.limit(0).toDF("query_id", "code")).count() == 0
+    with pytest.raises(Exception, match="more values"):
+        topk.coded(spark.createDataFrame([(1, [1.0] * 65)], "vec_id long, embedding array<double>")).collect()
+
+
+def test_sentencepiece_edges(spark):
+    d = table(spark, ROWS).withColumns({c: F.lit(7) for c in ["ids", "round_trip", "n_ids"]})
+    got = sentencepiece_codec.encode(d, tokenizer_path("piece_bpe_32k.model")).collect()
+    assert len(got) == len(ROWS) and all(r["round_trip"] for r in got)
+    assert sentencepiece_codec.encode(d.limit(0), tokenizer_path("piece_bpe_32k.model")).count() == 0
+
+
 def test_urls(spark):
     rows = [(1, None), (2, ""), (3, "no scheme"), (4, "HTTPS://WWW.Example.COM/en/71?x"), (5, "http://a.example.com/en/8"), (5, "http://a.example.com/en/8"), (6, "http://xcom/en/"), (7, "x://example.net?/de/8"), (8, "x://a.example.net/de/81#"), (9, "http://net/de/"), (10, "http://é.org/es/" + "a" * 50000)]
     d = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit(7) for c in ["host", "path", "rule", "score", "verdict", "y", "u"]})
