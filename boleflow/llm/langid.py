@@ -71,19 +71,19 @@ class Segmenter:
     """Forward (and backward) sums over all segmentations, for many words at once."""
 
     def __init__(self, pieces: list[str]):
-        keys = np.array([self._hash(p) for p in pieces], np.uint64)
+        known: dict[int, int] = {}  # the hash of every beginning of a piece: the piece's row, or 0
+        for row, piece in enumerate(pieces, 1):
+            h = 0
+            for c in piece:
+                h = (h * int(_BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+                known.setdefault(h, 0)
+            known[h] = row
+        keys = np.fromiter(known, np.uint64, len(known))
         order = np.argsort(keys)
-        self.keys, self.rows = keys[order], order + 1  # row 0: no piece
-        self.n = len(pieces) + 1
+        self.keys, self.rows = keys[order], np.fromiter(known.values(), np.int64, len(known))[order]
+        self.n = len(pieces) + 1  # row 0: no piece
         self.longest = max(map(len, pieces), default=1)
 
-    @staticmethod
-    def _hash(piece: str) -> int:
-        h = 0
-        for c in piece:
-            h = (h * int(_BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
-        return h
-
     def blocks(self, marked: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(indices, characters as a matrix) of words of one length, which have their marks."""
         sizes = np.array([len(w) for w in marked])
@@ -95,15 +95,20 @@ class Segmenter:
                 text = "".join([marked[i] for i in part])
                 yield part, np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(len(part), -1)
 
-    def rows_at(self, chars: np.ndarray, i: int) -> list[np.ndarray]:
-        """Piece rows (0: none) of the substrings of 1, 2, ... characters from i."""
-        h, out = np.zeros(len(chars), np.uint64), []
-        with np.errstate(over="ignore"):
-            for k in range(i, min(i + self.longest, chars.shape[1])):
-                h = h * _BASE + (chars[:, k].astype(np.uint64) + np.uint64(1))
-                at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                out.append(np.where(self.keys[at] == h, self.rows[at], 0))
-        return out
+    def pieces_at(self, chars: np.ndarray, i: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(words, piece rows) of the pieces of 1, 2, ... characters from i; of one character for all words, row 0 if none."""
+        words, h = np.arange(len(chars)), np.zeros(len(chars), np.uint64)
+        for k in range(i, min(i + self.longest, chars.shape[1])):
+            with np.errstate(over="ignore"):
+                h = h * _BASE + (chars[words, k].astype(np.uint64) + np.uint64(1))
+            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            begins = self.keys[at] == h
+            rows = np.where(begins, self.rows[at], 0)
+            is_piece = rows > 0
+            yield (words, rows) if k == i else (words[is_piece], rows[is_piece])
+            words, h = words[begins], h[begins]  # where no piece begins like this none is longer
+            if not len(words):
+                return
 
     def forward(self, found: list[str], p: np.ndarray) -> np.ndarray:
         """Log probabilities, words by languages; p: pieces (row 0: none) by languages."""
@@ -120,11 +125,9 @@ class Segmenter:
                     top = np.maximum(ring.max(axis=(0, 2)), 1e-300)
                     ring /= top[None, :, None]
                     scale += np.log(top)
-                for k, rows in enumerate(self.rows_at(chars, i), 1):
-                    q = p[rows]
-                    if k == 1:
-                        q = np.maximum(q, FLOOR)
-                    ring[(i + k) % turn] += here * q
+                for k, (on, rows) in enumerate(self.pieces_at(chars, i), 1):
+                    q = np.maximum(p[rows], FLOOR) if k == 1 else p[rows]
+                    ring[(i + k) % turn, on] += here[on] * q
                 here[:] = 0
             out[part] = np.log(np.maximum(ring[size % turn], 1e-300)) + scale[:, None]
         return out
@@ -134,20 +137,20 @@ class Segmenter:
         total = np.zeros(self.n)
         for part, chars in self.blocks(found):
             n, size = chars.shape
-            rows = [self.rows_at(chars, i) for i in range(size)]
-            q = [[np.maximum(p[r], FLOOR) if k == 0 else p[r] for k, r in enumerate(x)] for x in rows]
+            found_at = [list(self.pieces_at(chars, i)) for i in range(size)]
+            q = [[np.maximum(p[r], FLOOR) if k == 0 else p[r] for k, (_, r) in enumerate(x)] for x in found_at]
             a, b = np.zeros((size + 1, n)), np.zeros((size + 1, n))
             a[0], b[size] = 1, 1
             for i in range(size):
-                for k, x in enumerate(q[i], 1):
-                    a[i + k] += a[i] * x
+                for k, ((on, _), x) in enumerate(zip(found_at[i], q[i], strict=True), 1):
+                    a[i + k, on] += a[i, on] * x
             for i in range(size - 1, -1, -1):
-                for k, x in enumerate(q[i], 1):
-                    b[i] += x * b[i + k]
+                for k, ((on, _), x) in enumerate(zip(found_at[i], q[i], strict=True), 1):
+                    b[i, on] += x * b[i + k, on]
             weight = counts[part] / np.maximum(a[size], 1e-300)
             for i in range(size):
-                for k, x in enumerate(q[i], 1):
-                    total += np.bincount(rows[i][k - 1], a[i] * x * b[i + k] * weight, self.n)
+                for k, ((on, r), x) in enumerate(zip(found_at[i], q[i], strict=True), 1):
+                    total += np.bincount(r, a[i, on] * x * b[i + k, on] * weight[on], self.n)
         return total
 
 
