@@ -160,10 +160,25 @@ def binary(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()
 
 
+def release() -> None:
+    """Gives what a worker has freed back to the machine: workers outlive tasks, and executors share its memory."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library alone
+    if trim:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow after prepare()."""
     prepare(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ END_ID = 1
 #: Remainders held before windows are filled: bounds the memory of a task.
 POOL = 4096
 #: Runs and parts held with their ids by a worker, each.
-CACHE = 1_800_000
+CACHE = 900_000
 #: Documents whose unknown words are learnt in one call.
 GROUP = 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
