@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.geometry import angle, direction, dist, end_lines, gap_factor, unit, vote
+from ..shipping import shipped
 from .spatial import near
 
 
@@ -127,7 +128,7 @@ def connect(stems: list[tuple[np.ndarray, list[float]]], c: Config = Config()) -
     A stem is (path, diameters). A fragment is looked for by the ends that it and the
     base had when the cycle began and have now, as the base grows.
     """
-    stems, changed = list(stems), True
+    stems, changed, reach = list(stems), True, (1.001 * c.max_distance) ** 2
     while changed:
         changed = False
         held, left, out = list(stems), dict.fromkeys(range(len(stems))), []
@@ -136,10 +137,14 @@ def connect(stems: list[tuple[np.ndarray, list[float]]], c: Config = Config()) -
             while True:
                 path, d = held[base]
                 found = []
+                (x0, y0), (x1, y1) = path[0], path[-1]
                 for i in left:
                     if i == base:
                         continue
                     other, od = held[i]
+                    (u0, v0), (u1, v1) = other[0], other[-1]
+                    if (u0 - x1) ** 2 + (v0 - y1) ** 2 > reach and (u1 - x0) ** 2 + (v1 - y0) ** 2 > reach:
+                        continue  # neither gap is short enough
                     if (v := _join(path, other, c)) is not None:
                         found.append((v, i, path, d, other, od))
                     if (v := _join(other, path, c)) is not None:
@@ -178,5 +183,5 @@ def connect_groups(stems: DataFrame, c: Config = Config()) -> DataFrame:
             columns=["group_id", "stem_id", "path", "diameters"],
         )
 
-    return stems.groupBy("group_id").applyInPandas(run, CONNECTED)
+    return shipped(stems).groupBy("group_id").applyInPandas(run, CONNECTED)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +19,22 @@ def decoded(text: Column) -> Column:
 def stem_layer(stems: DataFrame) -> DataFrame:
     """stems with p (nodes in order): ends, length, volume and the lists as JSON."""
     n = F.size("p")
+    edges = F.arrays_zip(F.slice("p", F.lit(1), n - 1).alias("a"), F.slice("p", F.lit(2), n - 1).alias("b"))
+    gap = lambda e: F.sqrt((e["b"]["x"] - e["a"]["x"]) * (e["b"]["x"] - e["a"]["x"]) + (e["b"]["y"] - e["a"]["y"]) * (e["b"]["y"] - e["a"]["y"]))
+    frustum = lambda e: F.lit(math.pi / 12) * (e["a"]["d"] * e["a"]["d"] + e["a"]["d"] * e["b"]["d"] + e["b"]["d"] * e["b"]["d"]) * gap(e)
+    lengths, volumes = F.transform(edges, gap), F.transform(edges, frustum)
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    listed = lambda v: F.to_json(F.transform(v, lambda x: F.round(x, 6)))
     first, last = F.get("p", F.lit(0)), F.element_at("p", -1)
     return stems.select(
         "stem_id",
         first["x"].alias("start_x"), first["y"].alias("start_y"), last["x"].alias("stop_x"), last["y"].alias("stop_y"),
         n.cast("long").alias("n_nodes"),
+        total(lengths).alias("length"),
+        total(volumes).alias("volume"),
         F.to_json(F.transform("p", lambda v: v["d"])).alias("d_json"),
+        listed(lengths).alias("l_json"),
+        listed(volumes).alias("v_json"),
     )
 
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..config import Config
+from ..shipping import shipped
 
 READ_STRATEGIES = ("graph", "graph_aa", "overview", "consumer", "onnx_gpu", "cupy")
 
@@ -129,4 +130,4 @@ def segment_tiles(tiles: DataFrame, segmenter: Segmenter, c: Config = Config(),
                     n, r, col = np.nonzero(y)
                     yield pd.DataFrame({"tile_id": part["tile_id"].to_numpy()[n], "r": r, "c": col})
 
-    return tiles.select("tile_id", "height", "width", "bands", "pixels").mapInPandas(run, "tile_id long, r long, c long")
+    return shipped(tiles).select("tile_id", "height", "width", "bands", "pixels").mapInPandas(run, "tile_id long, r long, c long")

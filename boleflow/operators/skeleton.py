@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..shipping import shipped
+
 #: Neighbours in scan order, as (row, column) steps.
 SCAN = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
 CLOCKWISE = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
@@ -233,7 +235,7 @@ def thin_tiles(pixels: DataFrame) -> DataFrame:
         at = np.argwhere(thin(m))
         return pd.DataFrame({"tile_id": key[0], "r": at[:, 0] + r0, "c": at[:, 1] + c0})
 
-    return pixels.groupBy("tile_id").applyInPandas(run, "tile_id long, r long, c long")
+    return shipped(pixels).groupBy("tile_id").applyInPandas(run, "tile_id long, r long, c long")
 
 
 PARTS = "tile_id long, part long, path array<struct<r:int,c:int>>"
@@ -248,7 +250,7 @@ def trace_tiles(pixels: DataFrame, min_steps: int = 0, refined: bool = False, pi
         rows = [[{"r": r + r0, "c": c + c0} for r, c in p] for p in found]
         return pd.DataFrame({"tile_id": key[0], "part": range(len(rows)), "path": pd.Series(rows, dtype=object)}, columns=["tile_id", "part", "path"])
 
-    return pixels.groupBy("tile_id").applyInPandas(run, PARTS)
+    return shipped(pixels).groupBy("tile_id").applyInPandas(run, PARTS)
 
 
 def distance_tiles(pixels: DataFrame, py: float = 1.0, px: float = 1.0) -> DataFrame:
@@ -259,7 +261,7 @@ def distance_tiles(pixels: DataFrame, py: float = 1.0, px: float = 1.0) -> DataF
         e = distance_to_background(m, py, px)
         return pd.DataFrame({"tile_id": key[0], "r": pdf["r"], "c": pdf["c"], "distance": e[pdf["r"] - r0, pdf["c"] - c0]})
 
-    return pixels.groupBy("tile_id").applyInPandas(run, "tile_id long, r long, c long, distance double")
+    return shipped(pixels).groupBy("tile_id").applyInPandas(run, "tile_id long, r long, c long, distance double")
 
 
 def measure_tiles(lines: DataFrame, pixels: DataFrame) -> DataFrame:
@@ -273,4 +275,4 @@ def measure_tiles(lines: DataFrame, pixels: DataFrame) -> DataFrame:
         d = contour_diameters(m, at, ls[["node_r", "node_c"]].to_numpy(float) - (r0, c0))
         return pd.DataFrame({"tile_id": ls["tile_id"], "line_id": ls["line_id"], "d": d})
 
-    return lines.groupBy("tile_id").cogroup(pixels.groupBy("tile_id")).applyInPandas(run, "tile_id long, line_id long, d double")
+    return shipped(lines).groupBy("tile_id").cogroup(pixels.groupBy("tile_id")).applyInPandas(run, "tile_id long, line_id long, d double")

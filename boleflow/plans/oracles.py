@@ -35,7 +35,7 @@ LAYOUT = """SELECT *, CAST(ceil(width / greatest(px_per_tile_x - overlap_img_x,
  FROM (SELECT *, CAST(ceil(CAST(15 AS DOUBLE) / px) AS BIGINT) AS px_per_tile_x, CAST(ceil(CAST(15 AS DOUBLE) / py) AS BIGINT) AS px_per_tile_y FROM raster_info))"""
 JOBS = """SELECT raster_id, i * x_tiles + j AS tile_index, x_tiles * y_tiles AS n, CAST(floor(i * (px_per_tile_y - overlap_img_y)) AS BIGINT) AS src_row, CAST(floor(j * (px_per_tile_x - overlap_img_x)) AS BIGINT) AS src_col,
  greatest(1, px_per_tile_x - 1) AS src_width, greatest(1, px_per_tile_y - 1) AS src_height, i * 504 + 4 AS dst_row, j * 504 + 4 AS dst_col
- FROM (SELECT *, unnest(range(x_tiles)) AS j FROM (SELECT *, unnest(range(y_tiles)) AS i FROM layout WHERE raster_id <= 10))"""
+ FROM (SELECT *, unnest(range(x_tiles)) AS j FROM (SELECT *, unnest(range(y_tiles)) AS i FROM layout))"""
 
 OFFSETS = "SELECT * FROM (VALUES (0,-1,0),(1,-1,1),(2,0,1),(3,1,1),(4,1,0),(5,1,-1),(6,0,-1),(7,-1,-1)) v(k, dr, dc)"
 MET = "SELECT p.r, p.c, o.k FROM mask_pixels p CROSS JOIN offsets o JOIN mask_pixels q ON q.r = p.r + o.dr AND q.c = p.c + o.dc"
@@ -44,12 +44,23 @@ KINDS = "SELECT r, c, CAST(" + " + ".join(f"CASE WHEN n{k} = 0 AND n{(k + 1) % 8
 MASK = ("offsets", OFFSETS, "met", MET, "ring", RING)
 
 KEEP = """SELECT *, CASE WHEN ok THEN a0 ELSE x0 END AS kx0, CASE WHEN ok THEN b0 ELSE y0 END AS ky0, CASE WHEN ok THEN a1 ELSE x1 END AS kx1, CASE WHEN ok THEN b1 ELSE y1 END AS ky1
- FROM (SELECT *, a1 > a0 AND b1 > b0 AS ok FROM (SELECT *, CASE WHEN abs(x0 - 0) <= 0.001 THEN x0 ELSE x0 + 1 END AS a0, CASE WHEN abs(y0 - 0) <= 0.001 THEN y0 ELSE y0 + 1 END AS b0,
- CASE WHEN abs(x1 - 25) <= 0.001 THEN x1 ELSE x1 - 1 END AS a1, CASE WHEN abs(y1 - 25) <= 0.001 THEN y1 ELSE y1 - 1 END AS b1 FROM tiles))"""
+ FROM (SELECT *, a1 > a0 AND b1 > b0 AS ok FROM (SELECT *, CASE WHEN abs(x0 - wx0) <= 0.001 THEN x0 ELSE x0 + 1 END AS a0, CASE WHEN abs(y0 - wy0) <= 0.001 THEN y0 ELSE y0 + 1 END AS b0,
+ CASE WHEN abs(x1 - wx1) <= 0.001 THEN x1 ELSE x1 - 1 END AS a1, CASE WHEN abs(y1 - wy1) <= 0.001 THEN y1 ELSE y1 - 1 END AS b1 FROM tiles CROSS JOIN (SELECT min(x0) AS wx0, min(y0) AS wy0, max(x1) AS wx1, max(y1) AS wy1 FROM tiles)))"""
 JOINED = "SELECT s.*, k.x0, k.y0, k.x1, k.y1, k.kx0, k.ky0, k.kx1, k.ky1 FROM tile_stems s JOIN keep k ON k.ti = s.ti AND k.tj = s.tj"
-KEPT = "SELECT * FROM joined WHERE maxx >= kx0 AND minx <= kx1 AND maxy >= ky0 AND miny <= ky1"
+
+
+def _clip(a: str, lo: str, hi: str) -> tuple[str, str]:
+    """Parameter range of an edge between lo and hi on an axis (a: its coordinate, a2 the next node's)."""
+    t1, t2 = f"({lo} - {a}) / ({a}2 - {a})", f"({hi} - {a}) / ({a}2 - {a})"
+    inside = f"{a} BETWEEN {lo} AND {hi}"
+    return (f"CASE WHEN {a}2 = {a} THEN CASE WHEN {inside} THEN 0.0::DOUBLE ELSE 2.0::DOUBLE END ELSE least({t1}, {t2}) END", f"CASE WHEN {a}2 = {a} THEN CASE WHEN {inside} THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ELSE greatest({t1}, {t2}) END")
+
+
+_cx, _cy = _clip("x", "kx0", "kx1"), _clip("y", "ky0", "ky1")
+KEPT = f"""SELECT * FROM joined WHERE (ti, tj, stem_id) IN (SELECT (ti, tj, stem_id) FROM joined JOIN (SELECT stem_id, x, y, x2, y2 FROM linked WHERE x2 IS NOT NULL) e USING (stem_id)
+ WHERE greatest({_cx[0]}, {_cy[0]}, 0.0::DOUBLE) <= least({_cx[1]}, {_cy[1]}, 1.0::DOUBLE))"""
 BAND = "SELECT *, (maxx >= x0 AND minx <= x1 AND maxy >= y0 AND miny <= y1) AND NOT (minx > x0 + 1 AND maxx < x1 - 1 AND miny > y0 + 1 AND maxy < y1 - 1) AS on_edge FROM joined"
-SEAM = ("keep", KEEP, "joined", JOINED)
+SEAM = ("keep", KEEP, "joined", JOINED, "linked", LINKED)
 
 
 def _unit(ax: str, ay: str, bx: str, by: str) -> tuple[str, str]:
@@ -62,7 +73,7 @@ def _angle(u: tuple[str, str], v: tuple[str, str]) -> str:
 
 
 END_LINES = """SELECT *, CASE WHEN n < 4 THEN p[1] ELSE p[2] END AS s0, CASE WHEN n < 4 THEN p[-1] ELSE p[i + 1] END AS s1, CASE WHEN n < 4 THEN p[1] ELSE p[n - i] END AS e0, CASE WHEN n < 4 THEN p[-1] ELSE p[n - 1] END AS e1,
- p[n - 1] AS inner_stop, p[2] AS inner_start FROM (SELECT *, CASE WHEN n < 8 THEN n - 2 ELSE 6 END AS i FROM ends WHERE stem_id < 3000)"""
+ p[n - 1] AS inner_stop, p[2] AS inner_start FROM (SELECT *, CASE WHEN n < 8 THEN n - 2 ELSE 6 END AS i FROM ends)"""
 _stop, _start = _unit("a.e0.x", "a.e0.y", "a.e1.x", "a.e1.y"), _unit("b.s0.x", "b.s0.y", "b.s1.x", "b.s1.y")
 _missing = _unit("a.inner_stop.x", "a.inner_stop.y", "b.inner_start.x", "b.inner_start.y")
 PAIRS = f"""SELECT a.stem_id AS base, b.stem_id AS other, sqrt((a.stop_x-b.start_x)*(a.stop_x-b.start_x)+(a.stop_y-b.start_y)*(a.stop_y-b.start_y)) AS gap,
@@ -105,7 +116,9 @@ ORACLES = {
     "stem_normals": sql("stem_nodes", "SELECT stem_id, node, round(nx, 6) AS nx, round(ny, 6) AS ny FROM nm", "linked", LINKED, "nm", NORMALS),
     "measurement_vectors": sql("stem_nodes", "SELECT stem_id, node, d, round(x-nx, 6) AS ax, round(y-ny, 6) AS ay, round(x+nx, 6) AS bx, round(y+ny, 6) AS by FROM nm WHERE x-nx <> x+nx OR y-ny <> y+ny", "linked", LINKED, "nm", NORMALS),
     "stem_nodes_layer": sql("stem_nodes", "SELECT stem_id, node, d, x, y FROM stem_nodes WHERE stem_id IN (SELECT stem_id FROM stem_nodes GROUP BY stem_id HAVING count(*) >= 2)"),
-    "stem_layer": sql("stem_nodes", "SELECT stem_id, start_x, start_y, stop_x, stop_y, n AS n_nodes, CAST(to_json(list_transform(p, lambda v: v.d)) AS VARCHAR) AS d_json FROM ends", "sp", STEMS_P, "ends", ENDS),
+    "stem_layer": sql("stem_nodes", """SELECT stem_id, start_x, start_y, stop_x, stop_y, n AS n_nodes, round(coalesce(list_sum(ls), 0), 6) AS length, round(coalesce(list_sum(vs), 0), 6) AS volume, CAST(to_json(list_transform(p, lambda v: v.d)) AS VARCHAR) AS d_json,
+ CAST(to_json(list_transform(ls, lambda v: round(v, 6))) AS VARCHAR) AS l_json, len(vs) AS n_v, round(coalesce(list_sum(list_transform(vs, lambda v: round(v, 6))), 0), 6) AS v_total
+ FROM (SELECT *, list_transform(range(1, n), lambda i: pi() / 12 * (p[i].d*p[i].d + p[i].d*p[i+1].d + p[i+1].d*p[i+1].d) * ls[i]) AS vs FROM (SELECT *, list_transform(range(1, n), lambda i: sqrt((p[i+1].x-p[i].x)*(p[i+1].x-p[i].x)+(p[i+1].y-p[i].y)*(p[i+1].y-p[i].y))) AS ls FROM ends))""", "sp", STEMS_P, "ends", ENDS),
     "json_list_decode": sql("stem_nodes", "SELECT stem_id, CASE WHEN stem_id % 7 = 0 OR stem_id % 11 = 0 THEN 0 ELSE n END AS n, round(CASE WHEN stem_id % 7 = 0 OR stem_id % 11 = 0 THEN 0.0 ELSE list_sum(list_transform(p, lambda v: v.d)) END, 6) AS total FROM ends", "sp", STEMS_P, "ends", ENDS),
     "merge_diameters": sql("stem_nodes", "SELECT a.stem_id AS a, b.stem_id AS b, CASE WHEN a.stem_id % 5 = 0 THEN 0 ELSE a.n + b.n - 2 END AS n, round(CASE WHEN a.stem_id % 5 = 0 THEN 0.0 ELSE list_sum(list_transform(a.p, lambda v: v.d)) - a.p[-1].d + list_sum(list_transform(b.p, lambda v: v.d)) - b.p[1].d END, 6) AS total FROM ends a JOIN ends b ON b.stem_id = a.stem_id + 1", "sp", STEMS_P, "ends", ENDS),
     "tile_layout": sql("raster_info", "SELECT raster_id, px_per_tile_x, px_per_tile_y, round(overlap_img_x, 6) AS overlap_img_x, round(overlap_img_y, 6) AS overlap_img_y, x_tiles, y_tiles, x_tiles*504+8 AS out_width, y_tiles*504+8 AS out_height, round(px*px_per_tile_x/512.0::DOUBLE, 6) AS out_px, round(py*px_per_tile_y/512.0::DOUBLE, 6) AS out_py FROM layout", "layout", LAYOUT),
@@ -129,11 +142,11 @@ ORACLES = {
     "child_semi_join": sql("tile_stems", "SELECT stem_id, node, d FROM stem_nodes WHERE stem_id IN (SELECT stem_id FROM kept)", *SEAM, "kept", KEPT),
     "global_ids": sql("tile_stems", "SELECT concat(printf('r%05d_c%05d', tj, ti), '_', CAST(stem_id AS VARCHAR)) AS global_id, n_nodes FROM kept", *SEAM, "kept", KEPT),
     "merge_union": sql("tile_stems", "SELECT ti, tj, stem_id, 'inner' AS part FROM band WHERE NOT on_edge UNION ALL SELECT -1, -1, stem_id, 'edge' FROM (SELECT DISTINCT stem_id FROM band WHERE on_edge)", *SEAM, "band", BAND),
-    "merge_summary": sql("tile_stems", "SELECT count(DISTINCT ti * 100 + tj) AS n_tiles, count(*) AS n_stems, CAST(sum(n_nodes) AS BIGINT) AS n_nodes FROM kept", *SEAM, "kept", KEPT),
-    "endpoint_candidates": sql("stem_nodes", "SELECT * FROM (SELECT a.stem_id AS base, b.stem_id AS other, round(sqrt((a.stop_x-b.start_x)*(a.stop_x-b.start_x)+(a.stop_y-b.start_y)*(a.stop_y-b.start_y)), 6) AS gap FROM ends a JOIN ends b ON a.stem_id <> b.stem_id AND b.start_x BETWEEN a.stop_x - 1 AND a.stop_x + 1 AND b.start_y BETWEEN a.stop_y - 1 AND a.stop_y + 1 WHERE a.stem_id < 3000 AND b.stem_id < 3000) WHERE gap < 1", "sp", STEMS_P, "ends", ENDS),
+    "merge_summary": sql("tile_stems", "SELECT count(DISTINCT (ti, tj)) AS n_tiles, count(*) AS n_stems, CAST(sum(n_nodes) AS BIGINT) AS n_nodes FROM kept", *SEAM, "kept", KEPT),
+    "endpoint_candidates": sql("stem_nodes", "SELECT * FROM (SELECT a.stem_id AS base, b.stem_id AS other, round(sqrt((a.stop_x-b.start_x)*(a.stop_x-b.start_x)+(a.stop_y-b.start_y)*(a.stop_y-b.start_y)), 6) AS gap FROM ends a JOIN ends b ON a.stem_id <> b.stem_id AND b.start_x BETWEEN a.stop_x - 1 AND a.stop_x + 1 AND b.start_y BETWEEN a.stop_y - 1 AND a.stop_y + 1) WHERE gap < 1", "sp", STEMS_P, "ends", ENDS),
     "connect_votes": sql("stem_nodes", "SELECT * FROM voted", *VOTES),
     "best_candidate": sql("stem_nodes", "SELECT base, arg_min(other, row(vote, other)) AS other, min(vote) AS vote FROM voted GROUP BY base", *VOTES),
-    "dedup_contained": sql("stems", "SELECT stem_id, r AS row FROM st a WHERE NOT EXISTS (SELECT 1 FROM st b WHERE b.r = a.r AND (b.len > a.len OR (b.len = a.len AND b.stem_id < a.stem_id)) AND b.minx <= a.minx + 0.3::DOUBLE AND b.maxx >= a.maxx - 0.3::DOUBLE)", "st", "SELECT stem_id, minx, maxx, CAST(floor(miny) AS BIGINT) AS r, maxx - minx AS len FROM stems WHERE stem_id < 4000"),
+    "dedup_contained": sql("stems", "SELECT stem_id, r AS row FROM st a WHERE NOT EXISTS (SELECT 1 FROM st b WHERE b.r = a.r AND (b.len > a.len OR (b.len = a.len AND b.stem_id < a.stem_id)) AND b.minx <= a.minx + 0.3::DOUBLE AND b.maxx >= a.maxx - 0.3::DOUBLE)", "st", "SELECT stem_id, minx, maxx, CAST(floor(miny) AS BIGINT) AS r, maxx - minx AS len FROM stems"),
     "tile_metrics": sql("tile_metrics", "SELECT status, count(*) AS n_tiles, count(CASE WHEN fg_count = 0 THEN 1 END) AS n_empty, CAST(sum(segment_count) AS BIGINT) AS n_segments, CAST(sum(stem_count) AS BIGINT) AS n_stems, round(avg(total_s), 6) AS mean_s, round(sum(total_s), 6) AS sum_s FROM tile_metrics GROUP BY status"),
     "registry_resolve": sql("", """SELECT request_id, name, want, coalesce((SELECT id FROM reg WHERE id = name), (SELECT id FROM reg WHERE family = name AND precision = want), (SELECT id FROM reg WHERE lower(id) = lower(name)), (SELECT id FROM reg WHERE lower(family) = lower(name) AND precision = want)) AS id FROM req""", "reg", REGISTRY, "req", REQUESTS),
     "family_summary": sql("", "SELECT family, count(*) AS n_models, count(CASE WHEN installed THEN 1 END) AS n_present, CAST(sum(bytes_on_disk) AS BIGINT) AS bytes FROM reg GROUP BY family", "reg", REGISTRY),

@@ -63,7 +63,10 @@ def stem_nodes_layer(s, d):
 
 
 def stem_layer(s, d):
-    return layers.stem_layer(stem_paths(s, d))
+    """The lists of volumes by their number and sum: engines print small numbers in different ways."""
+    v = layers.decoded(F.col("v_json"))
+    out = layers.stem_layer(stem_paths(s, d)).withColumns({"n_v": F.size(v).cast("long"), "v_total": F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 6)})
+    return rounded(out.drop("v_json"), "length", "volume")
 
 
 def json_list_decode(s, d):
@@ -89,7 +92,7 @@ def tile_layout(s, d):
 
 
 def tile_jobs(s, d):
-    return tiling.tile_jobs(tiling.with_layout(view(s, d, "raster_info").filter("raster_id <= 10")))
+    return tiling.tile_jobs(tiling.with_layout(view(s, d, "raster_info")))
 
 
 def tile_estimate(s, d):
@@ -102,7 +105,7 @@ def vector_tiles(s, d):
 
 
 def job_shards(s, d):
-    laid = tiling.with_layout(view(s, d, "raster_info").filter("raster_id <= 10"))
+    laid = tiling.with_layout(view(s, d, "raster_info"))
     jobs = tiling.tile_jobs(laid).join(laid.select("raster_id", (F.col("x_tiles") * F.col("y_tiles")).alias("n")), "raster_id")
     return tiling.job_shards(jobs, 7, F.col("n")).groupBy("raster_id", "shard").agg(F.min("tile_index").alias("first"), F.count("*").alias("n"))
 
@@ -161,7 +164,8 @@ def part_canonical(s, d):
 
 def tiles_kept(s, d):
     t = view(s, d, "tiles")
-    whole = (F.lit(0.0), F.lit(0.0), F.lit(25.0), F.lit(25.0))
+    bounds = t.agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1")).first()  # four numbers
+    whole = tuple(F.lit(v).cast("double") for v in bounds)
     return t.withColumns(merge.keep_region(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), SEAM, whole))
 
 
@@ -171,18 +175,22 @@ def keep_region(s, d):
 
 def tile_stems(s, d):
     """Stems with the tiles whose halo they reach; tiles are found by their grid cell."""
-    near = F.sequence
-    st = view(s, d, "stems").filter("stem_id < 500")
-    cell = lambda c, e: F.least(F.lit(4), F.greatest(F.lit(0), F.floor((F.col(c) + F.lit(e)) / 5.0))).cast("long")
+    st = view(s, d, "stems")
     # a box that only touches a halo's edge belongs to it: one cell more on the low side
-    lo = lambda c: F.greatest(F.lit(0), F.ceil((F.col(c) - 1.0) / 5.0) - 1).cast("long")
-    st = st.withColumn("ti", F.explode(near(F.least(lo("minx"), cell("maxx", 1.0)), cell("maxx", 1.0)))).withColumn("tj", F.explode(near(F.least(lo("miny"), cell("maxy", 1.0)), cell("maxy", 1.0))))
+    cells = lambda lo, hi: F.sequence((F.ceil((F.col(lo) - 1.0) / 5.0) - 1).cast("long"), F.floor((F.col(hi) + 1.0) / 5.0).cast("long"))
+    st = st.withColumn("ti", F.explode(cells("minx", "maxx"))).withColumn("tj", F.explode(cells("miny", "maxy")))
     j = st.join(tiles_kept(s, d), ["ti", "tj"])
     return j.filter("maxx >= x0 - 1 AND minx <= x1 + 1 AND maxy >= y0 - 1 AND miny <= y1 + 1")
 
 
+def kept_stems(s, d):
+    """Stems whose path meets the keep-region of the tile."""
+    boxed = tile_stems(s, d).filter(merge.box_meets())  # a path that meets a region has a box that does
+    return boxed.join(stem_paths(s, d).select("stem_id", "path"), "stem_id").filter(merge.path_meets())
+
+
 def seam_filter(s, d):
-    return tile_stems(s, d).filter(merge.box_meets()).select("ti", "tj", "stem_id", "n_nodes")
+    return kept_stems(s, d).select("ti", "tj", "stem_id", "n_nodes")
 
 
 def edge_band_split(s, d):
@@ -190,12 +198,12 @@ def edge_band_split(s, d):
 
 
 def child_semi_join(s, d):
-    kept = tile_stems(s, d).filter(merge.box_meets())
+    kept = kept_stems(s, d)
     return merge.children_of(kept, nodes(s, d), ["stem_id"]).select("stem_id", "node", "d")
 
 
 def global_ids(s, d):
-    kept = tile_stems(s, d).filter(merge.box_meets())
+    kept = kept_stems(s, d)
     return kept.select(merge.global_ids(F.format_string("r%05d_c%05d", "tj", "ti"), F.col("stem_id")).alias("global_id"), "n_nodes")
 
 
@@ -207,17 +215,17 @@ def merge_union(s, d):
 
 
 def merge_summary(s, d):
-    return merge.summary(tile_stems(s, d).filter(merge.box_meets()))
+    return merge.summary(kept_stems(s, d))
 
 
 def endpoint_candidates(s, d):
-    c = connect.endpoint_candidates(stem_paths(s, d).filter("stem_id < 3000"), 1.0)
+    c = connect.endpoint_candidates(stem_paths(s, d), 1.0)
     return rounded(c.select("base", "other", "gap"), "gap")
 
 
 def voted(s, d):
     """A wide tolerance: the adapters' paths are no real stems."""
-    return connect.votes(stem_paths(s, d).filter("stem_id < 3000").select("stem_id", "path"), connect.Config(tolerance_angle=90.0, max_distance=4.0))
+    return connect.votes(stem_paths(s, d).select("stem_id", "path"), connect.Config(tolerance_angle=90.0, max_distance=4.0))
 
 
 def connect_votes(s, d):
@@ -230,10 +238,13 @@ def best_candidate(s, d):
 
 def dedup_contained(s, d):
     """Axis-aligned intervals: a stem's box on a row goes if a longer one there holds it."""
-    st = view(s, d, "stems").filter("stem_id < 4000").select("stem_id", "minx", "maxx", F.floor(F.col("miny")).cast("long").alias("row"), (F.col("maxx") - F.col("minx")).alias("len"))
-    b = st.select("row", F.col("stem_id").alias("b_id"), F.col("minx").alias("b0"), F.col("maxx").alias("b1"), F.col("len").alias("b_len"))
+    st = view(s, d, "stems").select("stem_id", "minx", "maxx", F.floor(F.col("miny")).cast("long").alias("row"), (F.col("maxx") - F.col("minx")).alias("len"))
+    # a box goes to the stretch of its left end, and a box that may hold it to all that it reaches
+    stretch = lambda c: F.floor(c / 25.0).cast("long")
+    st = st.withColumn("at", stretch(F.col("minx")))
+    b = st.select("row", F.explode(F.sequence(stretch(F.col("minx") - 0.3), stretch(F.col("maxx") + 0.3))).alias("at"), F.col("stem_id").alias("b_id"), F.col("minx").alias("b0"), F.col("maxx").alias("b1"), F.col("len").alias("b_len"))
     longer = (F.col("b_len") > F.col("len")) | ((F.col("b_len") == F.col("len")) & (F.col("b_id") < F.col("stem_id")))
-    held = st.join(b, "row").filter(longer & (F.col("b0") <= F.col("minx") + 0.3) & (F.col("b1") >= F.col("maxx") - 0.3))
+    held = st.join(b, ["row", "at"]).filter(longer & (F.col("b0") <= F.col("minx") + 0.3) & (F.col("b1") >= F.col("maxx") - 0.3))
     return st.join(held.select("stem_id").distinct(), "stem_id", "left_anti").select("stem_id", "row")
 
 
@@ -288,7 +299,7 @@ def mask_tiles(s, d):
     """The mask's pixels in 16-pixel tiles with a halo of two pixels."""
     m = view(s, d, "mask_pixels")
     around = F.explode(F.array(*[F.struct(F.floor((F.col("r") + dr) / 16).alias("a"), F.floor((F.col("c") + dc) / 16).alias("b")) for dr in (-2, 2) for dc in (-2, 2)]))
-    return m.select("r", "c", around.alias("t")).select((F.col("t.a") * 64 + F.col("t.b")).cast("long").alias("tile_id"), "r", "c").distinct()
+    return m.select("r", "c", around.alias("t")).select((F.col("t.b") * 64 + F.col("t.a")).cast("long").alias("tile_id"), "r", "c").distinct()
 
 
 def thin_mask(s, d):
@@ -309,12 +320,13 @@ def edt_diameters(s, d):
 
 def contour_diameters(s, d):
     m = mask_tiles(s, d)
-    lines = m.select("tile_id", (F.col("r") * 64 + F.col("c")).alias("line_id"), F.col("r").cast("double").alias("r0"), (F.col("c") + 0.5).alias("c0"), (F.col("r") + 2.0).alias("r1"), (F.col("c") + 0.5).alias("c1"), (F.col("r") + 0.5).alias("node_r"), (F.col("c") + 0.5).alias("node_c"))
+    lines = m.select("tile_id", (F.col("c") * 64 + F.col("r")).alias("line_id"), F.col("r").cast("double").alias("r0"), (F.col("c") + 0.5).alias("c0"), (F.col("r") + 2.0).alias("r1"), (F.col("c") + 0.5).alias("c1"), (F.col("r") + 0.5).alias("node_r"), (F.col("c") + 0.5).alias("node_c"))
     return rounded(skeleton.measure_tiles(lines, m), "d")
 
 
 def connect_stems(s, d):
-    p = stem_paths(s, d).select((F.col("stem_id") % 16).alias("group_id"), "path", "diameters")
+    """Stems of a plot may be connected: groups are of one size, and there are as many as plots."""
+    p = stem_paths(s, d).select(F.floor(F.col("stem_id") / 16).cast("long").alias("group_id"), "path", "diameters")
     done = connect.connect_groups(p, connect.Config(max_distance=2.0, tolerance_angle=30.0))
     return done.select("group_id", "stem_id", F.size("path").alias("n_nodes"), F.size("diameters").alias("n_diameters"))
 

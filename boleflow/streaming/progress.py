@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from ..shipping import shipped
+
 # Line formats, band ends, and marks of a failed accelerator.
 PREDICT = r"^\s*(?:Written tile|Multi-GPU prediction) (\d+)/(\d+) \|"
 VECTOR = r"^\s*Vector tiles (\d+)/(\d+) \|"
@@ -99,4 +101,4 @@ def stream_percentages(lines: DataFrame, kind: str = "Trees") -> DataFrame:
         state.update((run.percent, run.prepared, run.merged))
         yield pd.DataFrame({"run_id": [key[0]], "line_no": [int(rows["line_no"].max())], "percent": [run.percent]})
 
-    return lines.groupBy("run_id").applyInPandasWithState(step, "run_id long, line_no long, percent long", "percent long, prepared long, merged long", "update", GroupStateTimeout.NoTimeout)
+    return shipped(lines).groupBy("run_id").applyInPandasWithState(step, "run_id long, line_no long, percent long", "percent long, prepared long, merged long", "update", GroupStateTimeout.NoTimeout)
