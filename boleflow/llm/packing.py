@@ -22,6 +22,7 @@ import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ POOL = 4096
 CACHE = 900_000
 #: Documents whose unknown words are learnt in one call.
 GROUP = 64
+#: Parts that the tokenizer gets in one text.
+TOGETHER = 256
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -56,20 +59,33 @@ class WordIds:
     def encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts that the tokenizer does not split further: many in a call, told apart by its own word numbers."""
+        out: list[bytes] = []
+        lines = [parts[at : at + TOGETHER] for at in range(0, len(parts), TOGETHER)]
+        for line, e in zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids, words = array("I", e.ids).tobytes(), np.array(e.word_ids, np.int64)
+            ends = np.searchsorted(words, np.arange(len(line)), side="right")
+            if words[-1] + 1 != len(line):  # not one word each after all
+                out += self.encode(line)
+                continue
+            cuts = [0, *(4 * ends).tolist()]
+            out += [ids[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+        return out
+
     def learn(self, words: list[bytes]) -> None:
-        parts, plain, split, rest, new = self.parts, [], [], [], set()
-        for w in words:
-            t = w.decode("utf-8", "replace")
+        parts, plain, split, rest = self.parts, [], [], []
+        texts = b"\n".join(words).decode("utf-8", "replace").split("\n") if words else []
+        lowered = "\n".join(texts).lower().split("\n")
+        for w, t, low in zip(words, texts, lowered, strict=True):
             if "<|" not in t and PLAIN(t):
                 plain.append(w)
-                split.append(p := PART(t.lower()))
-                new.update(p)
+                split.append(PART(low))
             else:
                 rest.append((w, t))
-        if unknown := list(new.difference(parts)):
-            parts.update(zip(unknown, self.encode(unknown), strict=True))
-        for w, p in zip(plain, split, strict=True):
-            self.runs[w] = parts[p[0]] if len(p) == 1 else b"".join([parts[x] for x in p])
+        if unknown := list(set(chain.from_iterable(split)).difference(parts)):
+            parts.update(zip(unknown, self.encode_parts(unknown), strict=True))
+        self.runs.update((w, parts[p[0]] if len(p) == 1 else b"".join([parts[x] for x in p])) for w, p in zip(plain, split, strict=True))
         if rest:
             self.runs.update(zip([w for w, _ in rest], self.encode([t for _, t in rest]), strict=True))
 
@@ -79,13 +95,9 @@ class WordIds:
         if len(self.parts) > CACHE:
             self.parts.clear()
         split = [t.replace(b"\n", b" ").split(b" ") for t in texts]
-        found = [list(map(self.runs.get, words)) for words in split]
-        holes = [[i for i, v in enumerate(x) if v is None] if None in x else [] for x in found]
-        self.learn(list({words[i] for words, at in zip(split, holes, strict=True) for i in at}))
-        for words, x, at in zip(split, found, holes, strict=True):
-            for i in at:
-                x[i] = self.runs[words[i]]
-        return [b"".join(x) for x in found]
+        self.learn(list(set().union(*split).difference(self.runs)))
+        known = self.runs.__getitem__
+        return [b"".join(map(known, words)) for words in split]
 
 
 #: Latin runs on which lower-casing goes character by character and NFC changes nothing.
