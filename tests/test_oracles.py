@@ -41,4 +41,4 @@ def test_matches(spark, duck, name):
 
 def test_rows_only(spark):
     for name in sorted(set(QUERIES) - set(ORACLES)):
-        assert QUERIES[name](spark, DATA).count() > 0, name
+        assert QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0, name  # the mask of sf0.001 has no stem
