@@ -2,6 +2,7 @@
 
 import json
 
+import pandas as pd
 import pytest
 
 from boleflow import batch
@@ -56,9 +57,14 @@ def test_plan():
 
 
 def test_progress_bands():
-    r = progress.Run("Trees")
-    got = [r.feed(x) for x in ("boot", "Written tile 1/2 | x", "Written tile 2/2 | x", "Prepared 2/4 vector tiles", "Vector tiles 4/4 | x", "Written tile 1/2 | x", "MERGE TILE READ | tile a", "MERGE TILE READ | tile b")]
-    assert got == [0, 29, 57, 57, 95, 95, 97, 99] and r.finish(False) == 99 and r.finish() == 100
+    lines = pd.Series(["boot", "Written tile 1/2 | x", "Written tile 2/2 | x", "Prepared 2/4 vector tiles", "Vector tiles 4/4 | x", "Written tile 1/2 | x", "MERGE TILE READ | tile a", "MERGE TILE READ | tile b"])
+    want = [0, 29, 57, 57, 95, 95, 97, 99]
+    assert progress.advance(lines)[0].tolist() == want
+    state, got = (0, 0, 0), []
+    for at in range(0, 8, 3):  # in pieces, with the state kept
+        percent, state = progress.advance(lines[at : at + 3], state)
+        got += percent.tolist()
+    assert got == want and progress.final(99, False) == 99 and progress.final(99, True) == 100
 
 
 def test_stream_equals_batch(spark, tmp_path):
