@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Words of the contracts: runs without the six ASCII white-space characters.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -26,25 +25,10 @@ MOST_TASKS = 100_000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let executors import this package, and bound the Arrow batches by bytes.
-
-    The package goes as a zip through Spark's own file server, so that no shared
-    Python installation is presumed.
-    """
+    """Let executors import this package, and bound the Arrow batches by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    sc = spark.sparkContext
-    root = Path(__file__).resolve().parents[1]
-    files = sorted(root.rglob("*.py"))
-    digest = hashlib.sha256(b"".join(p.read_bytes() for p in files)).hexdigest()[:16]
-    name = f"boleflow_{digest}.zip"
-    if any(f.endswith(name) for f in sc.listFiles):
-        return
-    path = os.path.join(tempfile.mkdtemp(), name)
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in files:
-            z.write(p, str(p.relative_to(root.parent)))
-    sc.addPyFile(path)
+    ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -106,6 +106,10 @@ PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]*").fullmatch
 PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\\s0-9a-zß-öø-ſ]+").findall
 
 
+#: Texts on which a tokenizer of another form gives itself away.
+PROBES = ["It's I'LL  they've\t3rd 42", "Two\nlines, a-b", "Straße ŒUVRE <|x a<b", "é日本 x_y !!"]
+
+
 def word_ids(tokenizer_path: str) -> WordIds:
     """One for each tokenizer and worker process: later tasks find what earlier ones learnt."""
 
@@ -113,7 +117,10 @@ def word_ids(tokenizer_path: str) -> WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        return WordIds(Tokenizer.from_file(tokenizer_path))
+        words = WordIds(Tokenizer.from_file(tokenizer_path))
+        if words.ids([t.encode() for t in PROBES]) != words.encode(PROBES):
+            raise ValueError(f"{tokenizer_path}: this tokenizer does not split and lower-case as it must: its ids are not those of its runs")
+        return words
 
     return held(f"packing {tokenizer_path}", make)
 

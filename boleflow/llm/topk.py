@@ -10,9 +10,10 @@ an aggregation with k rows a query and block. No cap is set on candidates.
 The stated query set meets all rows in blocks. A task holds one block of rows and one group
 of queries, both of a bounded size; a group's rows are dealt once for each group of queries.
 
-Defined cases: a null vector has no code, and neither it nor a row without an id is found or asked for. A
-query that is there twice is asked once. Missing values count as not positive. Ties go to the lesser id; repeated rows are found one by
-one. With fewer than k rows a query gets them all. An empty table gives an empty result.
+Defined cases: a null vector has no code, and neither it nor a row without an id is found or
+asked for. A query that is there twice is asked once. A vector of more than 64 values fails.
+Missing values count as not positive. Ties go to the lesser id; repeated rows are found one
+by one. With fewer than k rows a query gets them all. An empty table gives an empty result.
 """
 
 from __future__ import annotations
