@@ -74,8 +74,10 @@ class WordIds:
         return out
 
     def learn(self, words: list[bytes]) -> None:
+        if not words:
+            return
         parts, plain, split, rest = self.parts, [], [], []
-        texts = b"\n".join(words).decode("utf-8", "replace").split("\n") if words else []
+        texts = b"\n".join(words).decode("utf-8", "replace").split("\n")
         lowered = "\n".join(texts).lower().split("\n")
         for w, t, low in zip(words, texts, lowered, strict=True):
             if "<|" not in t and PLAIN(t):

@@ -324,10 +324,15 @@ def test_fill_is_closest_to_capacity(lengths):
 def test_odd_texts_have_the_tokenizers_ids():
     w = packing.word_ids(queries.tokenizer_path())
     texts = ["It's I'LL  they've\t3rd", "Straße ŒUVRE İstanbul Σίσυφος", "é a<|endoftext|>b <|x", "日本語 mixed text x", "", "''s !!'t 5² ºª", "a\x1cb\x85c"]
-    for t, got in zip(texts, w.ids([t.encode() for t in texts]), strict=True):
+    for t, got in zip(texts * 2, w.ids([t.encode() for t in texts]) + w.ids([t.encode() for t in texts]), strict=True):  # the second time all runs are known
         assert np.frombuffer(got, "<u4").tolist() == w.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_tokenizers_of_another_form_are_refused():
+    with pytest.raises(ValueError, match="not those of its runs"):
+        packing.word_ids(queries.tokenizer_path("byte_bpe_50k.json"))
+
+
 # --- 7 ---------------------------------------------------------------------------------
 
 
