@@ -26,10 +26,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, binary, held
+from .common import arrow_map, held
 
 CAPACITY = 2048
 END_ID = 1
@@ -37,8 +38,8 @@ END_ID = 1
 POOL = 4096
 #: Runs and parts held with their ids by a worker, each.
 CACHE = 900_000
-#: Documents whose unknown words are learnt in one call.
-GROUP = 64
+#: Runs whose ids are put together in one call: bounds what a very long text takes.
+RUNS = 1 << 20
 #: Parts that the tokenizer gets in one text.
 TOGETHER = 256
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -91,15 +92,30 @@ class WordIds:
         if rest:
             self.runs.update(zip([w for w, _ in rest], self.encode([t for _, t in rest]), strict=True))
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
+    def ids(self, texts: pa.Array | list[bytes]) -> list[bytes]:
+        """Ids of each text. A text's runs are numbered by Arrow; Python sees each distinct run of a batch once."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary())
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+        split = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        numbered = split.flatten().dictionary_encode()
+        code, met = numbered.indices.to_numpy(), numbered.dictionary.cast(pa.large_binary()).to_pylist()
         if len(self.runs) > CACHE:
             self.runs.clear()
         if len(self.parts) > CACHE:
             self.parts.clear()
-        split = [t.replace(b"\n", b" ").split(b" ") for t in texts]
-        self.learn(list(set().union(*split).difference(self.runs)))
-        known = self.runs.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        self.learn([w for w in met if w not in self.runs])
+        known = [self.runs[w] for w in met]
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(known), np.uint32)
+        ends = np.cumsum(pc.list_value_length(split).to_numpy())
+        return [b"".join(gather(flat, start, size, code[at : min(at + RUNS, end)]).tobytes() for at in range(begin, end, RUNS)) for begin, end in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+
+
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """flat[start : start + size] of each code, one after the other."""
+    n = size[code]
+    ends = np.cumsum(n)
+    return flat[np.repeat(start[code] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 #: Latin runs on which lower-casing goes character by character and NFC changes nothing.
@@ -227,10 +243,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
         def documents() -> Iterator[tuple[int | None, bytes]]:
             for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), [t or b"" for t in binary(batch, "t")]
-                for i in range(0, len(ids), GROUP):
-                    for doc, x in zip(ids[i : i + GROUP], words.ids(texts[i : i + GROUP]), strict=True):
-                        yield doc, x + end
+                for doc, x in zip(batch.column(0).to_pylist(), words.ids(batch.column(1)), strict=True):
+                    yield doc, x + end
 
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         rows: list[tuple] = []
