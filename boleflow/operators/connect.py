@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.geometry import angle, direction, dist, end_lines, gap_factor, unit, vote
 from ..shipping import shipped
-from .spatial import near
+from .components import components
+from .spatial import near, overlapping
 
 
 def endpoint_candidates(stems: DataFrame, distance: float) -> DataFrame:
@@ -47,6 +48,11 @@ def votes(stems: DataFrame, c: Config = Config()) -> DataFrame:
     return d.withColumn("vote", vote(F.col("a1"), F.col("a2"), F.col("a3"), F.col("extent"), F.col("gap"), c.tolerance_angle)).select("base", "other", "gap", "vote")
 
 
+def either_way(voted: DataFrame) -> DataFrame:
+    """Votes of both orientations: the other goes on from the base's stop, or the base from the other's."""
+    return voted.withColumn("forward", F.lit(True)).unionByName(voted.select(F.col("other").alias("base"), F.col("base").alias("other"), "gap", "vote", F.lit(False).alias("forward")))
+
+
 def best(voted: DataFrame) -> DataFrame:
     """The least vote of each base; ties go to the lesser id."""
     return voted.groupBy("base").agg(F.min(F.struct("vote", "other")).alias("m")).select("base", "m.other", "m.vote")
@@ -165,6 +171,24 @@ def connect(stems: list[tuple[np.ndarray, list[float]]], c: Config = Config()) -
     return [long[i] for i in without_duplicates([p for p, _ in long], c.duplicate_buffer_m)]
 
 
+def seam_groups(stems: DataFrame, c: Config = Config()) -> DataFrame:
+    """stems (stem_id, path) with group_id: stems of different groups have nothing to do with each other.
+
+    A group is a connected component of stems one of which starts within reach of the
+    other's stop, or whose boxes come within the duplicates' buffer. Links are equi-joins on
+    grid cells. Two-point stems are the exception: joining them bridges over their own ends,
+    and a stem of another group that only lies along such a bridge is not found there.
+    """
+    first, last = F.get("path", F.lit(0)), F.element_at("path", -1)
+    ends = stems.select("stem_id", first["x"].alias("sx"), first["y"].alias("sy"), last["x"].alias("tx"), last["y"].alias("ty"))
+    a, b = ends.select(F.col("stem_id").alias("a"), "tx", "ty"), ends.select(F.col("stem_id").alias("b"), "sx", "sy")
+    follows = near(a, b, "tx", "ty", "sx", "sy", c.max_distance + c.duplicate_buffer_m).select("a", "b")
+    side = lambda f, k: f(F.transform("path", lambda p: p[k]))
+    boxes = stems.select("stem_id", side(F.array_min, "x").alias("x0"), side(F.array_min, "y").alias("y0"), side(F.array_max, "x").alias("x1"), side(F.array_max, "y").alias("y1"))
+    linked = components(follows.union(overlapping(boxes, "stem_id", c.max_tree_height, c.duplicate_buffer_m)))
+    return stems.join(linked.select(F.col("a").alias("stem_id"), F.col("b").alias("group_id")), "stem_id", "left").withColumn("group_id", F.coalesce("group_id", "stem_id"))
+
+
 CONNECTED = "group_id long, stem_id long, path array<struct<x:double,y:double>>, diameters array<double>"
 
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import materialise
+
 LAYERS = {"stems": ["stems", "stem", "trees", "tree"], "nodes": ["nodes", "node"], "vectors": ["vectors", "vector", "segments", "segment"]}
 ID_COLUMNS = ["stem_id", "id", "ID", "StemID", "stemID"]
 
@@ -60,9 +62,10 @@ def first_column(layer: DataFrame, names: list[str] = ID_COLUMNS) -> str | None:
 def numbered(stems: DataFrame, order: list[Column]) -> DataFrame:
     """Ids from 0 on in a canonical order.
 
-    A range sort, counts by partition, and an offset each: no single task orders all.
+    A range sort, counts by partition, and an offset each: no single task orders all. The
+    sorted rows are written once, so that counts and ids speak of the same partitions.
     """
-    ordered = stems.sort(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    ordered = materialise(stems.sort(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()))
     sizes = {r["__p"]: r["count"] for r in ordered.groupBy("__p").count().collect()}
     base, offsets = 0, []
     for p in sorted(sizes):

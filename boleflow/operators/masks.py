@@ -74,6 +74,23 @@ def valid_mask(file_mask: Column, bands: Column) -> Column:
     return F.when(F.forall(file_mask, lambda m: m), any_band).otherwise(F.zip_with(file_mask, any_band, lambda a, b: a & b))
 
 
+def agreement(tiles: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """How far two masks (tile_id, r, c) agree on each of tiles (tile_id): pixels of either and
+    of both, and intersection over union (1 where neither has a pixel)."""
+    both = a.select("tile_id", "r", "c", F.lit(1).alias("a"), F.lit(0).alias("b")).union(b.select("tile_id", "r", "c", F.lit(0), F.lit(1)))
+    met = both.groupBy("tile_id", "r", "c").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    n = met.groupBy("tile_id").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.sum(F.col("a") * F.col("b")).alias("n_both"))
+    d = tiles.select("tile_id").join(n, "tile_id", "left").na.fill(0, ["n_a", "n_b", "n_both"])
+    union = F.col("n_a") + F.col("n_b") - F.col("n_both")
+    return d.withColumn("iou", F.when(union > 0, F.col("n_both") / union).otherwise(1.0))
+
+
+def overall(agreed: DataFrame) -> DataFrame:
+    """One row: pixels of either mask, their difference in percent of the second, and the worst tile."""
+    n = agreed.agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.min("iou").alias("worst_iou"))
+    return n.withColumn("percent", 100 * (F.col("n_a") - F.col("n_b")) / F.greatest(F.col("n_b"), F.lit(1)))
+
+
 def with_foreground(tiles: DataFrame, score: str, threshold: float) -> DataFrame:
     """Tiles with any pixel at or over the threshold."""
     return tiles.filter(F.exists(score, lambda s: s >= F.lit(threshold)))

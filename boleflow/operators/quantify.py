@@ -32,6 +32,17 @@ def stem_measures(nodes: DataFrame, min_length: float | None = None) -> DataFram
     return d if min_length is None else d.filter(F.col("length") > F.lit(min_length))
 
 
+def measured_paths(stems: DataFrame) -> DataFrame:
+    """stems (path, diameters) with length, and volume where each node has a diameter (else null)."""
+    n = F.size("path")
+    nodes = F.arrays_zip(F.col("path").alias("p"), F.col("diameters").alias("d"))
+    edges = F.arrays_zip(F.slice(nodes, F.lit(1), n - 1).alias("a"), F.slice(nodes, F.lit(2), n - 1).alias("b"))
+    gap = lambda e: dist(e["a"]["p"]["x"], e["a"]["p"]["y"], e["b"]["p"]["x"], e["b"]["p"]["y"])
+    length = F.aggregate(edges, F.lit(0.0), lambda s, e: s + gap(e))
+    volume = F.aggregate(edges, F.lit(0.0), lambda s, e: s + frustum_volume(e["a"]["d"], e["b"]["d"], gap(e)))
+    return stems.withColumns({"length": length, "volume": F.when(F.size("diameters") == n, volume)})
+
+
 def quartiles(nodes: DataFrame) -> DataFrame:
     """Exact quartiles of a stem's diameters (linear interpolation)."""
     q = nodes.groupBy("stem_id").agg(F.expr("percentile(d, array(0.25D, 0.75D))").alias("q"))
@@ -95,5 +106,11 @@ def measuring_lines(nodes: DataFrame, half_length: float = 1.0) -> DataFrame:
     )
 
 
+def lines_of_diameters(nodes: DataFrame, half_length: float = 1.0) -> DataFrame:
+    """Measuring lines that reach at least as far as a node's own radius (d: its diameter)."""
+    h = F.greatest(F.lit(half_length), F.coalesce(F.col("d"), F.lit(0.0)) / 2)
+    return normals(nodes).withColumns({"ax": F.col("x") - F.col("nx") * h, "ay": F.col("y") - F.col("ny") * h, "bx": F.col("x") + F.col("nx") * h, "by": F.col("y") + F.col("ny") * h})
+
+
 def measurement_count(nodes: DataFrame) -> DataFrame:
     return nodes.agg(F.count("d").alias("n"))

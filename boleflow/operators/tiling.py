@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import Config
 
@@ -82,6 +83,47 @@ def job_shards(jobs: DataFrame, n: int, total: Column) -> DataFrame:
     return jobs.withColumn("shard", F.size(F.filter(ends, lambda e: e <= F.col("tile_index"))).cast("long"))
 
 
+def content_windows(windows: DataFrame, n: int) -> DataFrame:
+    """n windows (raster_id, row, col, std), spread over the ranking of a raster by contrast.
+
+    Of the windows by falling std every (count / 3n)-th is taken, from the first, up to n.
+    """
+    order = Window.partitionBy("raster_id").orderBy(F.desc("std"), F.desc("col"), F.desc("row"))
+    d = windows.withColumns({"place": F.row_number().over(order) - 1, "of": F.count("*").over(Window.partitionBy("raster_id"))})
+    step = F.greatest(F.lit(1).cast("long"), F.floor(F.col("of") / F.lit(3 * n)).cast("long"))
+    return d.filter((F.col("place") % step == 0) & (F.col("place") / step < n)).drop("of")
+
+
+def written_cores(jobs: DataFrame, layout: DataFrame, c: Config = Config()) -> DataFrame:
+    """What a tile's core covers of the output raster, clipped to it; cores outside go."""
+    core = F.lit(c.img_width - c.overlap_pred).cast("long")
+    d = jobs.join(layout.select("raster_id", "out_height", "out_width"), "raster_id")
+    d = d.withColumns({"write_height": F.least(core, F.col("out_height") - F.col("dst_row")), "write_width": F.least(core, F.col("out_width") - F.col("dst_col"))})
+    return d.filter("write_height > 0 AND write_width > 0").drop("out_height", "out_width")
+
+
+def placed(pixels: DataFrame, cores: DataFrame) -> DataFrame:
+    """Set pixels of cores (raster_id, tile_index, r, c) to pixels of the output raster (raster_id, row, col)."""
+    d = pixels.join(cores, ["raster_id", "tile_index"]).filter("r < write_height AND c < write_width")
+    return d.select("raster_id", (F.col("dst_row") + F.col("r")).alias("row"), (F.col("dst_col") + F.col("c")).alias("col"))
+
+
+#: Side of a pixel above which results are worth a warning, in metres.
+COARSE = 0.05
+#: Size from which reading without overviews is worth a warning, in GB.
+LARGE = 2.0
+
+
+def input_check(rasters: DataFrame) -> DataFrame:
+    """rasters (raster_id, width, height, bands, item_bytes, px, py, geographic, n_overviews) with
+    their size in GB, whether they can be used, and what to say about them."""
+    d = rasters.withColumn("gigabytes", F.col("width") * F.col("height") * F.col("bands") * F.col("item_bytes") / F.lit(float(2**30)))
+    coarse = (F.abs("px") > F.lit(COARSE)) | (F.abs("py") > F.lit(COARSE))
+    slow = (F.col("n_overviews") == 0) & (F.col("gigabytes") >= F.lit(LARGE))
+    notes = F.filter(F.array(F.when(F.col("geographic"), "not projected"), F.when(~F.col("geographic") & coarse, "coarse pixels"), F.when(slow, "no overviews")), lambda v: v.isNotNull())
+    return d.select("raster_id", "gigabytes", (~F.col("geographic")).alias("usable"), F.array_join(notes, ", ").alias("notes"))
+
+
 def shifted_origin(col_off: Column, row_off: Column) -> tuple[Column, Column]:
     """World origin of a window: (x, y)."""
     return F.col("origin_x") + col_off * F.col("px"), F.col("origin_y") - row_off * F.col("py")

@@ -108,6 +108,26 @@ PERCENT = f"""SELECT run_id, line_no, max(least(99, CASE WHEN regexp_matches(lin
  WHEN regexp_matches(line, '{V_LINE}') THEN {_band(57, 95, _n(V_LINE, 1), _n(V_LINE, 2))}
  WHEN line LIKE 'MERGE TILE READ | tile %' THEN {_band(95, 99, 'merged', 'coalesce(prepared, 0)')} ELSE 0 END)) {SO_FAR} AS percent FROM parsed"""
 
+FRAMED = """SELECT *, y1 >= 30 * tj AND y <= 30 * tj + 30 AND NOT (y > 30 * tj + 1 AND y1 < 30 * tj + 29) AS on_edge
+ FROM (SELECT *, y + 2.5::DOUBLE AS y1, unnest(range(CAST(floor((y - 1) / 30) AS BIGINT), CAST(floor((y + 3.5::DOUBLE) / 30) AS BIGINT) + 1)) AS tj FROM fragments) WHERE y1 >= 30 * tj + 1 AND y <= 30 * tj + 29"""
+# pieces of a tree on an edge lie in a line: those less than 8 m apart become one stem, and a seam's ones are few
+RUNS = "SELECT *, sum(CASE WHEN k - before < 3 THEN 0 ELSE 1 END) OVER (PARTITION BY tree ORDER BY k) AS run FROM (SELECT *, lag(k) OVER (PARTITION BY tree ORDER BY k) AS before FROM (SELECT DISTINCT tree, k, x, y, d FROM framed WHERE on_edge))"
+CLOSED = "SELECT *, row_number() OVER w = 1 AS first, lead(k) OVER w IS NULL AS last FROM runs WINDOW w AS (PARTITION BY tree, run ORDER BY k)"
+KNOTS = "SELECT tree, run, x, y + 1.25::DOUBLE * i AS y, d FROM closed CROSS JOIN range(3) g(i) WHERE i = 1 OR (i = 0 AND first) OR (i = 2 AND last)"
+KNOT_EDGES = "SELECT tree, run, x, y, d, lead(y) OVER w - y AS len, lead(d) OVER w AS d2 FROM knots WINDOW w AS (PARTITION BY tree, run ORDER BY y)"
+RECONNECTED = """SELECT NULL AS tile_id, min(x) AS x, min(y) AS y, count(*) AS n_nodes, sum(len) AS length, sum(pi()/12*(d*d+d*d2+d2*d2)*len) AS volume FROM knot_edges GROUP BY tree, run
+ UNION ALL SELECT printf('r%05d_c%05d', tj, ti), x, y, 3, 2.5::DOUBLE, pi()/12*3*d*d*2.5::DOUBLE FROM framed WHERE NOT on_edge"""
+
+MASK_TILES = """SELECT DISTINCT CAST(floor((c + dc) / 16) * 64 + floor((r + dr) / 16) AS BIGINT) AS tile_id, r, c FROM mask_pixels CROSS JOIN (VALUES (-2), (2)) a(dr) CROSS JOIN (VALUES (-2), (2)) b(dc)"""
+# a tile has 20 rows: no pixel is more than 10 away from an unset one
+FAR = """SELECT m.tile_id, m.r, m.c, min(sqrt(i*i + j*j)) AS far FROM mt m CROSS JOIN range(-11, 12) g(i) CROSS JOIN range(-11, 12) h(j)
+ LEFT JOIN mt q ON q.tile_id = m.tile_id AND q.r = m.r + i AND q.c = m.c + j WHERE q.r IS NULL GROUP BY m.tile_id, m.r, m.c"""
+
+KEYS = """SELECT o, i, w / sum(w) OVER (PARTITION BY o) AS w FROM (SELECT o, i, CASE WHEN x <= 1 THEN 1.5::DOUBLE*x*x*x - 2.5::DOUBLE*x*x + 1 WHEN x < 2 THEN -0.5::DOUBLE*x*x*x + 2.5::DOUBLE*x*x - 4*x + 2 ELSE 0 END AS w
+ FROM (SELECT o, i, abs(i - ((o + 0.5::DOUBLE) / 2 - 0.5::DOUBLE)) AS x FROM range(16) a(o) CROSS JOIN range(8) b(i)))"""
+TILE_BYTES = "SELECT tile_id, i // 8 AS r, i % 8 AS c, least(255, greatest(0, round(score[i + 1] * 400 + 128))) AS v FROM (SELECT *, unnest(range(64)) AS i FROM score_tiles)"
+GROWN = "SELECT tile_id, a.o AS r, b.o AS c, sum(a.w * b.w * v / 255::DOUBLE) AS v FROM tile_bytes t JOIN keys a ON a.i = t.r JOIN keys b ON b.i = t.c WHERE a.o BETWEEN 2 AND 13 AND b.o BETWEEN 2 AND 13 GROUP BY ALL"
+
 ORACLES = {
     "stem_volume": sql("stem_nodes", "SELECT stem_id, count(*) AS n_edges, round(sum(len), 6) AS length, round(sum(pi()/12*(d*d+d*d2+d2*d2)*len), 6) AS volume FROM e GROUP BY stem_id HAVING sum(len) > 2", "linked", LINKED, "e", EDGES),
     "stem_quartiles": sql("stem_nodes", "SELECT stem_id, round(quantile_cont(d, 0.25), 6) AS q1, round(quantile_cont(d, 0.75), 6) AS q3 FROM stem_nodes GROUP BY stem_id"),
@@ -146,6 +166,21 @@ ORACLES = {
     "endpoint_candidates": sql("stem_nodes", "SELECT * FROM (SELECT a.stem_id AS base, b.stem_id AS other, round(sqrt((a.stop_x-b.start_x)*(a.stop_x-b.start_x)+(a.stop_y-b.start_y)*(a.stop_y-b.start_y)), 6) AS gap FROM ends a JOIN ends b ON a.stem_id <> b.stem_id AND b.start_x BETWEEN a.stop_x - 1 AND a.stop_x + 1 AND b.start_y BETWEEN a.stop_y - 1 AND a.stop_y + 1) WHERE gap < 1", "sp", STEMS_P, "ends", ENDS),
     "connect_votes": sql("stem_nodes", "SELECT * FROM voted", *VOTES),
     "best_candidate": sql("stem_nodes", "SELECT base, arg_min(other, row(vote, other)) AS other, min(vote) AS vote FROM voted GROUP BY base", *VOTES),
+    "best_either": sql("stem_nodes", "SELECT base, arg_min(other, row(vote, other)) AS other, min(vote) AS vote FROM (SELECT base, other, vote FROM voted UNION ALL SELECT other, base, vote FROM voted) GROUP BY base", *VOTES),
+    "merge_reconnect": sql("fragments", "SELECT row_number() OVER (ORDER BY x, y) - 1 AS stem_id, tile_id, n_nodes, round(length, 6) AS length, round(volume, 6) AS volume FROM merged", "framed", FRAMED, "runs", RUNS, "closed", CLOSED, "knots", KNOTS, "knot_edges", KNOT_EDGES, "merged", RECONNECTED),
+    "tile_timing": sql("tile_metrics", "SELECT status, round(median(total_s), 6) AS median_s FROM tile_metrics GROUP BY status"),
+    "input_check": sql("raster_info", """SELECT raster_id, round(gb, 6) AS gigabytes, raster_id % 4 <> 0 AS usable, concat_ws(', ', CASE WHEN raster_id % 4 = 0 THEN 'not projected' WHEN px > 0.05::DOUBLE OR 2 * py > 0.05::DOUBLE THEN 'coarse pixels' END, CASE WHEN raster_id % 3 = 0 AND gb >= 2 THEN 'no overviews' END) AS notes
+ FROM (SELECT *, width * height * bands * (1 + 16 * (raster_id % 5)) / 1073741824::DOUBLE AS gb FROM raster_info)"""),
+    "content_windows": sql("score_tiles", """SELECT raster_id, row, col, std, place FROM (SELECT *, row_number() OVER (PARTITION BY raster_id ORDER BY std DESC, col DESC, row DESC) - 1 AS place, greatest(1, count(*) OVER (PARTITION BY raster_id) // 9) AS step
+ FROM (SELECT tile_id % 10 AS raster_id, tile_id AS row, tile_id % 7 AS col, round(list_aggregate(score::DOUBLE[], 'stddev_pop'), 6) AS std FROM score_tiles)) WHERE place % step = 0 AND place // step < 3"""),
+    "written_cores": sql("raster_info", """SELECT raster_id, tile_index, dst_row, dst_col, least(504, y_tiles * 504 + 8 - 300 * (raster_id % 3) - dst_row) AS write_height, least(504, x_tiles * 504 + 8 - 600 * (raster_id % 2) - dst_col) AS write_width
+ FROM jobs JOIN (SELECT raster_id, x_tiles, y_tiles FROM layout) USING (raster_id) WHERE write_height > 0 AND write_width > 0""", "layout", LAYOUT, "jobs", JOBS),
+    "mask_agreement": sql("score_tiles", """SELECT tile_id, n_a, n_b, n_both, round(CASE WHEN n_a + n_b > n_both THEN n_both / (n_a + n_b - n_both)::DOUBLE ELSE 1 END, 6) AS iou FROM (SELECT tile_id, count(CASE WHEN a THEN 1 END) AS n_a, count(CASE WHEN b THEN 1 END) AS n_b, count(CASE WHEN a AND b THEN 1 END) AS n_both
+ FROM (SELECT tile_id, v >= 0.05::DOUBLE AS a, v <= 0.1::DOUBLE AND v >= 0 AS b FROM (SELECT tile_id, unnest(score) AS v FROM score_tiles)) GROUP BY tile_id)"""),
+    "edt_nodes": sql("mask_pixels", "SELECT m.tile_id AS group_id, concat(m.r, '_', m.c) AS stem_id, CASE WHEN far IS NULL THEN 0.0::DOUBLE ELSE round(2 * least(0.25::DOUBLE * far, 0.3::DOUBLE), 6) END AS d FROM mt m LEFT JOIN far f ON f.tile_id = m.tile_id AND f.r = m.r + 1 AND f.c = m.c", "mt", MASK_TILES, "far", FAR),
+    "edt_diameters": sql("mask_pixels", "SELECT tile_id, r, c, round(2 * far, 6) AS d FROM far", "mt", MASK_TILES, "far", FAR),
+    "contour_diameters": sql("mask_pixels", "SELECT m.tile_id, m.c * 64 + m.r AS line_id, CASE WHEN q.r IS NULL THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS d FROM mt m LEFT JOIN mt q ON q.tile_id = m.tile_id AND q.r = m.r + 1 AND q.c = m.c", "mt", MASK_TILES),
+    "segment_tiles": sql("score_tiles", "SELECT g.tile_id, g.r - 2 AS r, g.c - 2 AS c FROM grown g JOIN tile_bytes n ON n.tile_id = g.tile_id AND n.r = g.r // 2 AND n.c = g.c // 2 WHERE g.v >= 0.5::DOUBLE AND n.v <> 0", "keys", KEYS, "tile_bytes", TILE_BYTES, "grown", GROWN),
     "dedup_contained": sql("stems", "SELECT stem_id, r AS row FROM st a WHERE NOT EXISTS (SELECT 1 FROM st b WHERE b.r = a.r AND (b.len > a.len OR (b.len = a.len AND b.stem_id < a.stem_id)) AND b.minx <= a.minx + 0.3::DOUBLE AND b.maxx >= a.maxx - 0.3::DOUBLE)", "st", "SELECT stem_id, minx, maxx, CAST(floor(miny) AS BIGINT) AS r, maxx - minx AS len FROM stems"),
     "tile_metrics": sql("tile_metrics", "SELECT status, count(*) AS n_tiles, count(CASE WHEN fg_count = 0 THEN 1 END) AS n_empty, CAST(sum(segment_count) AS BIGINT) AS n_segments, CAST(sum(stem_count) AS BIGINT) AS n_stems, round(avg(total_s), 6) AS mean_s, round(sum(total_s), 6) AS sum_s FROM tile_metrics GROUP BY status"),
     "registry_resolve": sql("", """SELECT request_id, name, want, coalesce((SELECT id FROM reg WHERE id = name), (SELECT id FROM reg WHERE family = name AND precision = want), (SELECT id FROM reg WHERE lower(id) = lower(name)), (SELECT id FROM reg WHERE lower(family) = lower(name) AND precision = want)) AS id FROM req""", "reg", REGISTRY, "req", REQUESTS),

@@ -236,6 +236,27 @@ def best_candidate(s, d):
     return rounded(connect.best(voted(s, d).withColumn("vote", r6("vote"))), "vote")
 
 
+def best_either(s, d):
+    return rounded(connect.best(connect.either_way(voted(s, d).withColumn("vote", r6("vote")))), "vote")
+
+
+def tiled_fragments(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Pieces of trees in each tile of 40 x 30 m whose halo of 1 m they reach, and the tiles."""
+    f = view(s, d, "fragments")
+    rows = F.sequence(F.floor((F.col("y") - 1) / 30), F.floor((F.col("y") + 3.5) / 30))
+    path = F.array(*[F.struct(F.col("x"), (F.col("y") + F.lit(1.25 * i)).alias("y")) for i in range(3)])
+    stems = f.select("ti", F.explode(rows).alias("tj"), path.alias("path"), F.array_repeat("d", 3).alias("diameters")).withColumn("tile_id", F.format_string("r%05d_c%05d", "tj", "ti"))
+    x0, y0 = (F.col("ti") * 40 - 20).cast("double"), (F.col("tj") * 30).cast("double")
+    tiles = stems.select("tile_id", "ti", "tj").distinct().select("tile_id", x0.alias("x0"), y0.alias("y0"), (x0 + 40).alias("x1"), (y0 + 30).alias("y1"))
+    return stems.select("tile_id", "path", "diameters"), tiles
+
+
+def merge_reconnect(s, d):
+    """Tiles to one layer with seams closed."""
+    merged = merge.merge_tiles(*tiled_fragments(s, d), SEAM)
+    return rounded(merged.select("stem_id", "tile_id", F.size("path").cast("long").alias("n_nodes"), "length", "volume"), "length", "volume")
+
+
 def dedup_contained(s, d):
     """Axis-aligned intervals: a stem's box on a row goes if a longer one there holds it."""
     st = view(s, d, "stems").select("stem_id", "minx", "maxx", F.floor(F.col("miny")).cast("long").alias("row"), (F.col("maxx") - F.col("minx")).alias("len"))
@@ -254,6 +275,36 @@ def tile_metrics(s, d):
     return rounded(out, "mean_s", "sum_s")
 
 
+def tile_timing(s, d):
+    return rounded(view(s, d, "tile_metrics").groupBy("status").agg(F.median("total_s").alias("median_s")), "median_s")
+
+
+def input_check(s, d):
+    r = view(s, d, "raster_info").withColumns({"item_bytes": 1 + 16 * (F.col("raster_id") % 5), "geographic": F.col("raster_id") % 4 == 0, "n_overviews": F.col("raster_id") % 3})
+    return rounded(tiling.input_check(r.withColumn("py", 2 * F.col("py"))), "gigabytes")
+
+
+def content_windows(s, d):
+    mean = F.aggregate("score", F.lit(0.0), lambda a, v: a + v) / F.size("score")
+    spread = F.aggregate(F.transform("score", lambda v: (v - F.col("mean")) * (v - F.col("mean"))), F.lit(0.0), lambda a, v: a + v) / F.size("score")
+    t = view(s, d, "score_tiles").withColumn("score", F.col("score").cast("array<double>")).withColumn("mean", mean)
+    windows = t.select((F.col("tile_id") % 10).alias("raster_id"), F.col("tile_id").alias("row"), (F.col("tile_id") % 7).alias("col"), r6(F.sqrt(spread)).alias("std"))
+    return tiling.content_windows(windows, 3).withColumn("place", F.col("place").cast("long"))
+
+
+def written_cores(s, d):
+    """The output rasters are smaller here than the tiles make them, so that some cores are clipped."""
+    laid = tiling.with_layout(view(s, d, "raster_info"))
+    cut = laid.withColumns({"out_height": F.col("out_height") - 300 * (F.col("raster_id") % 3), "out_width": F.col("out_width") - 600 * (F.col("raster_id") % 2)})
+    return tiling.written_cores(tiling.tile_jobs(laid), cut).select("raster_id", "tile_index", "dst_row", "dst_col", "write_height", "write_width")
+
+
+def mask_agreement(s, d):
+    t = view(s, d, "score_tiles").select("tile_id", F.posexplode("score").alias("i", "v"))
+    pixels = t.select("tile_id", F.floor(F.col("i") / 8).alias("r"), (F.col("i") % 8).alias("c"), "v")
+    return rounded(masks.agreement(view(s, d, "score_tiles"), pixels.filter("v >= 0.05D"), pixels.filter("v <= 0.1D AND v >= 0")), "iou")
+
+
 def _registry(s: SparkSession) -> DataFrame:
     families = [("Spruce", ("fp32", "fp16", "int8")), ("Beech", ("fp32", "int8")), ("General", ("fp32",))]
     rows = [(f"{f.lower()}_{p}", f, p, i != 1, 1000 * (i + 1)) for i, (f, ps) in enumerate(families) for p in ps]
@@ -324,6 +375,13 @@ def contour_diameters(s, d):
     return rounded(skeleton.measure_tiles(lines, m), "d")
 
 
+def edt_nodes(s, d):
+    """Nodes off their pixel's corner: some round to a pixel off the mask."""
+    m = mask_tiles(s, d)
+    nodes = m.select(F.col("tile_id").alias("group_id"), F.concat_ws("_", "r", "c").alias("stem_id"), F.lit(0).cast("long").alias("node"), ((F.col("c") + 0.4) * 0.25).alias("x"), ((F.col("r") + 0.6) * -0.25).alias("y"))
+    return rounded(pipeline.edt_nodes(nodes, m, 0.25, 0.3).select("group_id", "stem_id", "d"), "d")
+
+
 def connect_stems(s, d):
     """Stems of a plot may be connected: groups are of one size, and there are as many as plots."""
     p = stem_paths(s, d).select(F.floor(F.col("stem_id") / 16).cast("long").alias("group_id"), "path", "diameters")
@@ -348,7 +406,7 @@ QUERIES = {
         stem_volume, stem_quartiles, stem_clean_diameter, stem_normals, measurement_vectors, stem_nodes_layer, stem_layer, json_list_decode, merge_diameters,
         tile_layout, tile_jobs, tile_estimate, vector_tiles, job_shards, pixel_to_world, binarize_core, valid_mask, empty_tile_prune, neighbor_degree, skeleton_nodes,
         dense_removal, branch_clear_round, part_canonical, keep_region, seam_filter, edge_band_split, child_semi_join, global_ids, merge_union, merge_summary,
-        endpoint_candidates, connect_votes, best_candidate, dedup_contained, tile_metrics, registry_resolve, family_summary, plan_mode, output_ladder, progress_percent, gpu_failure_flag,
+        endpoint_candidates, connect_votes, best_candidate, best_either, merge_reconnect, dedup_contained, tile_metrics, tile_timing, input_check, content_windows, written_cores, mask_agreement, edt_nodes, registry_resolve, family_summary, plan_mode, output_ladder, progress_percent, gpu_failure_flag,
         thin_mask, trace_segments, refine_segments, edt_diameters, contour_diameters, connect_stems, segment_tiles, analyse,
     )
 }

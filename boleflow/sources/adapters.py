@@ -1,7 +1,8 @@
 """Views that give the driver's star-schema tables the shape of this engine's data model.
 
 Each view is one SQL text that Spark and DuckDB both run; oracles use the same texts as
-common table expressions. They read whole tables. The world grows with them: each plot of
+common table expressions. They read whole tables. The world grows with them: a fallen
+tree for each order key lies 40 m from the next, in pieces of 2.5 m with gaps of 1 m; each plot of
 25 m has the stems of 16 order keys, 32 plots lie in a row, and the mask gets a further field
 of 64 x 64 pixels for every 6000 order keys (foreground: a score of 0.98 or more).
 """
@@ -28,6 +29,10 @@ VIEWS = {
     "tiles": """SELECT DISTINCT CAST(floor(x / 5) AS BIGINT) AS ti, CAST(floor(y / 5) AS BIGINT) AS tj,
  CAST(floor(x / 5) * 5 AS DOUBLE) AS x0, CAST(floor(y / 5) * 5 AS DOUBLE) AS y0, CAST(floor(x / 5) * 5 + 5 AS DOUBLE) AS x1, CAST(floor(y / 5) * 5 + 5 AS DOUBLE) AS y1 FROM stem_nodes""",
     "tile_stems": """SELECT t.ti, t.tj, s.* FROM tiles t JOIN stems s ON s.maxx >= t.x0 - 1 AND s.minx <= t.x1 + 1 AND s.maxy >= t.y0 - 1 AND s.miny <= t.y1 + 1""",
+    "fragments": """SELECT tree, k, CAST(40 * (tree % 256) AS DOUBLE) + CAST(tree % 5 AS DOUBLE) / CAST(50 AS DOUBLE) AS x,
+ CAST(60 * CAST(floor(tree / 256) AS BIGINT) + 7 * (tree % 5) AS DOUBLE) + CAST(k AS DOUBLE) * CAST(3.5 AS DOUBLE) AS y, d, tree % 256 AS ti
+ FROM (SELECT CAST(l_orderkey AS BIGINT) AS tree, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS BIGINT) AS k,
+ l_quantity / CAST(100 AS DOUBLE) AS d FROM lineitem) f""",
     "log_lines": """SELECT user_id AS run_id, event_id AS line_no, ts, CASE event_type WHEN 'view' THEN concat('Written tile ', CAST(k AS VARCHAR(20)), '/', CAST(n AS VARCHAR(20)), ' | x')
  WHEN 'click' THEN concat('Vector tiles ', CAST(k AS VARCHAR(20)), '/', CAST(n AS VARCHAR(20)), ' | x') WHEN 'purchase' THEN 'MERGE TILE READ | tile r0' WHEN 'signup' THEN concat('Prepared ', CAST(n AS VARCHAR(20)), '/', CAST(n AS VARCHAR(20)), ' vector tiles') ELSE 'CUDNN_BACKEND_API_FAILED' END AS line
  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) e""",
