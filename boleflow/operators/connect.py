@@ -7,15 +7,17 @@ a canonical order, so that results don't depend on partitions.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.geometry import angle, direction, dist, end_lines, gap_factor, unit, vote
-from ..shipping import shipped
 from .components import components
+from .groups import map_groups, paths, points, spans
 from .spatial import near, overlapping
 
 
@@ -115,16 +117,16 @@ def length(p: np.ndarray) -> float:
     return float(np.hypot(*np.diff(p, axis=0).T).sum())
 
 
-def without_duplicates(paths: list[np.ndarray], buffer: float) -> list[int]:
+def without_duplicates(lines: list[np.ndarray], buffer: float) -> list[int]:
     """Indices that stay, longest first: a path inside a longer kept one goes."""
-    order = sorted(range(len(paths)), key=lambda i: -length(paths[i]))
+    order = sorted(range(len(lines)), key=lambda i: -length(lines[i]))
     kept: list[int] = []
     gone: set[int] = set()
     for at, i in enumerate(order):
         if i in gone:
             continue
         kept.append(i)
-        gone.update(j for j in order[at + 1 :] if j not in gone and contained(paths[j], paths[i], buffer))
+        gone.update(j for j in order[at + 1 :] if j not in gone and contained(lines[j], lines[i], buffer))
     return kept
 
 
@@ -195,17 +197,28 @@ CONNECTED = "group_id long, stem_id long, path array<struct<x:double,y:double>>,
 def connect_groups(stems: DataFrame, c: Config = Config()) -> DataFrame:
     """connect() for each group_id. stems: group_id, path, diameters.
 
-    A group is what may be connected at all: a tile, or a raster's seam stems.
+    A group is what may be connected at all: a tile, or a component of seam stems. Paths of
+    fewer than two points go; missing diameters are none.
     """
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(np.array([(q["x"], q["y"]) for q in p], float), list(d)) for p, d in zip(pdf["path"], pdf["diameters"], strict=True)]
-        rows.sort(key=lambda s: (*s[0][0], *s[0][-1], len(s[0]), s[0].tobytes()))
-        done = connect([r for r in rows if len(r[0]) >= 2], c)
-        return pd.DataFrame(
-            {"group_id": key[0], "stem_id": range(len(done)), "path": pd.Series([[{"x": float(x), "y": float(y)} for x, y in p] for p, _ in done], dtype=object), "diameters": pd.Series([[float(v) for v in d] for _, d in done], dtype=object)},
-            columns=["group_id", "stem_id", "path", "diameters"],
-        )
-
-    return shipped(stems).groupBy("group_id").applyInPandas(run, CONNECTED)
-
+    def run(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        for t in tables:
+            keys = t.column("group_id").to_numpy()
+            xy, at = points(t.column("path").combine_chunks())
+            given = t.column("diameters").to_pylist()
+            ids, places, found = [], [], []
+            for first, end in spans(keys):
+                rows = [(xy[at[i] : at[i + 1]], given[i]) for i in range(first, end)]
+                rows.sort(key=lambda s: (*s[0][0], *s[0][-1], len(s[0]), s[0].tobytes(), s[1]))
+                done = connect(rows, c)
+                ids += [keys[first]] * len(done)
+                places += range(len(done))
+                found += done
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(places, pa.int64()), paths([p for p, _ in found]), pa.array([[float(v) for v in d] for _, d in found], pa.list_(pa.float64()))],
+                names=["group_id", "stem_id", "path", "diameters"],
+            )
+
+    point = lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))
+    asked = stems.filter("size(path) >= 2").select(F.col("group_id").cast("long").alias("group_id"), F.transform("path", point).alias("path"), F.coalesce(F.col("diameters").cast("array<double>"), F.array().cast("array<double>")).alias("diameters"))
+    return map_groups(asked, "group_id", run, CONNECTED)

@@ -6,11 +6,15 @@ tile's size bounds a group, whatever the raster.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..shipping import shipped
+from .groups import map_groups, spans
 
 #: Neighbours in scan order, as (row, column) steps.
 SCAN = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
@@ -218,61 +222,83 @@ def contour_diameters(mask: np.ndarray, lines: np.ndarray, nodes: np.ndarray, to
     return out
 
 
-def as_mask(pdf: pd.DataFrame) -> tuple[np.ndarray, int, int]:
+def as_mask(r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, int, int]:
     """(mask, row, column of its origin) of a group's pixels, with a margin of one."""
-    r, c = pdf["r"].to_numpy(), pdf["c"].to_numpy()
     r0, c0 = int(r.min()) - 1, int(c.min()) - 1
     m = np.zeros((int(r.max()) - r0 + 2, int(c.max()) - c0 + 2), bool)
     m[r - r0, c - c0] = True
     return m, r0, c0
 
 
-def thin_tiles(pixels: DataFrame) -> DataFrame:
-    """pixels (tile_id, r, c) to the thinned ones."""
+def each_tile(pixels: DataFrame, fn: Callable[[int, np.ndarray, np.ndarray], list], schema: str) -> DataFrame:
+    """fn(tile, rows, columns) gives the columns of schema after tile_id, as arrays or lists, for each tile."""
+    kinds = [pa.field(n, k) for n, k in COLUMNS.items()]
+    out = pa.schema([next(f for f in kinds if f.name == x.split()[0]) for x in schema.split(", ")])
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m, r0, c0 = as_mask(pdf)
-        at = np.argwhere(thin(m))
-        return pd.DataFrame({"tile_id": key[0], "r": at[:, 0] + r0, "c": at[:, 1] + c0})
+    def run(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        for t in tables:
+            key, r, c = (t.column(k).to_numpy() for k in ("tile_id", "r", "c"))
+            for first, end in spans(key):
+                columns = fn(int(key[first]), r[first:end], c[first:end])
+                yield pa.RecordBatch.from_arrays([pa.array([int(key[first])] * len(columns[0]), pa.int64()), *(pa.array(v, f.type) for v, f in zip(columns, list(out)[1:], strict=True))], schema=out)
 
-    return shipped(pixels).groupBy("tile_id").applyInPandas(run, "tile_id long, r long, c long")
+    return map_groups(pixels.select(*(F.col(k).cast("long").alias(k) for k in ("tile_id", "r", "c"))), "tile_id", run, schema)
 
 
+PIXELS = "tile_id long, r long, c long"
 PARTS = "tile_id long, part long, path array<struct<r:int,c:int>>"
+COLUMNS = {"tile_id": pa.int64(), "r": pa.int64(), "c": pa.int64(), "part": pa.int64(), "path": pa.list_(pa.struct([("r", pa.int32()), ("c", pa.int32())])), "distance": pa.float64()}
+
+
+def thin_tiles(pixels: DataFrame) -> DataFrame:
+    """pixels (tile_id, r, c) to the thinned ones."""
+
+    def one(_: int, r: np.ndarray, c: np.ndarray) -> list:
+        m, r0, c0 = as_mask(r, c)
+        at = np.argwhere(thin(m))
+        return [at[:, 0] + r0, at[:, 1] + c0]
+
+    return each_tile(pixels, one, PIXELS)
 
 
 def trace_tiles(pixels: DataFrame, min_steps: int = 0, refined: bool = False, pixel: float = 0.1, min_length: float = 2.0) -> DataFrame:
     """Chains of each tile; with refined, all of segments()."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m, r0, c0 = as_mask(pdf)
+    def one(_: int, r: np.ndarray, c: np.ndarray) -> list:
+        m, r0, c0 = as_mask(r, c)
         found = segments(m, pixel, min_length) if refined else trace(m, min_steps)
-        rows = [[{"r": r + r0, "c": c + c0} for r, c in p] for p in found]
-        return pd.DataFrame({"tile_id": key[0], "part": range(len(rows)), "path": pd.Series(rows, dtype=object)}, columns=["tile_id", "part", "path"])
+        return [range(len(found)), [[{"r": y + r0, "c": x + c0} for y, x in p] for p in found]]
 
-    return shipped(pixels).groupBy("tile_id").applyInPandas(run, PARTS)
+    return each_tile(pixels, one, PARTS)
 
 
 def distance_tiles(pixels: DataFrame, py: float = 1.0, px: float = 1.0) -> DataFrame:
     """pixels (tile_id, r, c) with their distance to the background."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m, r0, c0 = as_mask(pdf)
-        e = distance_to_background(m, py, px)
-        return pd.DataFrame({"tile_id": key[0], "r": pdf["r"], "c": pdf["c"], "distance": e[pdf["r"] - r0, pdf["c"] - c0]})
+    def one(_: int, r: np.ndarray, c: np.ndarray) -> list:
+        m, r0, c0 = as_mask(r, c)
+        return [r, c, distance_to_background(m, py, px)[r - r0, c - c0]]
 
-    return shipped(pixels).groupBy("tile_id").applyInPandas(run, "tile_id long, r long, c long, distance double")
+    return each_tile(pixels, one, "tile_id long, r long, c long, distance double")
 
 
 def measure_tiles(lines: DataFrame, pixels: DataFrame) -> DataFrame:
     """lines (tile_id, line_id, r0, c0, r1, c1, node_r, node_c) with d, in pixels; both sides meet by tile."""
-
-    def run(key: tuple, ls: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
-        if not len(ps) or not len(ls):
-            return pd.DataFrame({"tile_id": ls["tile_id"], "line_id": ls["line_id"], "d": 0.0})
-        m, r0, c0 = as_mask(ps)
-        at = ls[["r0", "c0", "r1", "c1"]].to_numpy(float) - (r0, c0, r0, c0)
-        d = contour_diameters(m, at, ls[["node_r", "node_c"]].to_numpy(float) - (r0, c0))
-        return pd.DataFrame({"tile_id": ls["tile_id"], "line_id": ls["line_id"], "d": d})
-
-    return shipped(lines).groupBy("tile_id").cogroup(pixels.groupBy("tile_id")).applyInPandas(run, "tile_id long, line_id long, d double")
+    ends = ["r0", "c0", "r1", "c1", "node_r", "node_c"]
+    asked = lines.select("tile_id", "line_id", *(F.col(e).cast("double").alias(e) for e in ends))
+    both = asked.unionByName(pixels.select("tile_id", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c")), allowMissingColumns=True)
+
+    def run(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        for t in tables:
+            for first, end in spans(t.column("tile_id").to_numpy()):
+                of = t.slice(first, end - first)
+                is_pixel = pc.is_valid(of.column("r"))
+                ps, ls = of.filter(is_pixel), of.filter(pc.invert(is_pixel))
+                d = np.zeros(ls.num_rows)
+                if ps.num_rows and ls.num_rows:
+                    m, r0, c0 = as_mask(ps.column("r").to_numpy(), ps.column("c").to_numpy())
+                    at = np.stack([ls.column(e).to_numpy() for e in ends], 1) - (r0, c0, r0, c0, r0, c0)
+                    d = contour_diameters(m, at[:, :4], at[:, 4:])
+                yield pa.RecordBatch.from_arrays([ls.column("tile_id").combine_chunks(), ls.column("line_id").combine_chunks(), pa.array(d)], names=["tile_id", "line_id", "d"])
+
+    return map_groups(both, "tile_id", run, "tile_id long, line_id long, d double")
