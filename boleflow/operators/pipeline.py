@@ -34,19 +34,24 @@ def edt_nodes(nodes: DataFrame, pixels: DataFrame, pixel: float, clip: float | N
     return asked.join(found, ["group_id", "r", "c"], "left").withColumn("d", F.coalesce("d", F.lit(0.0))).drop("r", "c")
 
 
-def measured(stems: DataFrame, pixels: DataFrame, pixel: float, c: Config = Config()) -> DataFrame:
-    """Diameter, length and volume of each stem: nodes are measured in their tile's mask, by c.diameter_method."""
+def diameters(stems: DataFrame, pixels: DataFrame, pixel: float, c: Config = Config()) -> DataFrame:
+    """Nodes (stem_id, node, x, y, d) of stems, measured in their tile's mask by c.diameter_method and cleaned."""
     if c.diameter_method not in ("contour", "edt"):
         raise ValueError(f"unknown diameter method {c.diameter_method!r}")
     key = F.concat_ws("_", "group_id", "stem_id")
     nodes = stems.select("group_id", key.alias("stem_id"), F.posexplode("path").alias("node", "pt")).select("group_id", "stem_id", "node", "pt.x", "pt.y", F.lit(0.0).alias("d"))
     if c.diameter_method == "edt":
         found = edt_nodes(nodes.drop("d"), pixels, pixel, c.edt_clip_max_m).select("stem_id", "node", "x", "y", "d")
-        return quantify.stem_measures(found.drop("d").join(quantify.clean_diameters(found), ["stem_id", "node"]))
+        return found.drop("d").join(quantify.clean_diameters(found), ["stem_id", "node"])
     lines = quantify.measuring_lines(nodes, c.diameter_vector_half_length_m).withColumn("line_id", F.xxhash64("stem_id", "node"))
     r, col = (lambda v: -F.col(v) / F.lit(pixel)), (lambda v: F.col(v) / F.lit(pixel))
     asked = lines.select(F.col("group_id").alias("tile_id"), "line_id", r("ay").alias("r0"), col("ax").alias("c0"), r("by").alias("r1"), col("bx").alias("c1"), r("y").alias("node_r"), col("x").alias("node_c"))
     found = skeleton.measure_tiles(asked, pixels)
     d = lines.drop("d").join(found.select(F.col("tile_id").alias("group_id"), "line_id", (F.col("d") * F.lit(pixel)).alias("d")), ["group_id", "line_id"])
-    cleaned = quantify.clean_diameters(d.select("stem_id", "node", "x", "y", "d"))
-    return quantify.stem_measures(d.drop("d").join(cleaned, ["stem_id", "node"]))
+    nodes = d.select("stem_id", "node", "x", "y", "d")
+    return nodes.drop("d").join(quantify.clean_diameters(nodes), ["stem_id", "node"])
+
+
+def measured(stems: DataFrame, pixels: DataFrame, pixel: float, c: Config = Config()) -> DataFrame:
+    """Edges, length and volume of each stem by the diameters of its nodes."""
+    return quantify.stem_measures(diameters(stems, pixels, pixel, c))

@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 import sqlite3
 import struct
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.layers import LAYERS
+from ..shipping import shipped
 
 
 def wkb(points: list[tuple[float, float]]) -> bytes:
@@ -87,26 +89,44 @@ def write_frames(path: str, frames: dict[str, DataFrame], srs: int = 0) -> str:
     return write(path, {k: (df.columns[:-1], rows(df)) for k, df in frames.items()}, srs)
 
 
-def read(spark: SparkSession, path: str, layer: str) -> DataFrame:
-    """A layer by any of its usual names: its columns and path; none found: no rows."""
+def layer_of(path: str, layer: str) -> tuple[str, list[tuple[str, str]], int, int] | None:
+    """A layer by any of its usual names: its table, columns with their types, least and largest row id."""
     db = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
     there = {r[0] for r in db.execute("SELECT table_name FROM gpkg_contents")}
     name = next((n for n in LAYERS.get(layer, [layer]) if n in there), None)
     if name is None:
-        return spark.createDataFrame([], "path array<struct<x:double,y:double>>")
-    cur = db.execute(f'SELECT * FROM "{name}"')
-    columns = [c[0] for c in cur.description]
-    g = columns.index("geom")
-    keep = [i for i, c in enumerate(columns) if c not in ("geom", "fid")]
-    kinds = {r[1]: r[2] for r in db.execute(f'PRAGMA table_info("{name}")')}
-    rows = [(*(r[i] for i in keep), [{"x": x, "y": y} for x, y in points_of(r[g])]) for r in cur]
+        return None
+    columns = [(r[1], r[2].upper()) for r in db.execute(f'PRAGMA table_info("{name}")') if r[1] not in ("geom", "fid")]
+    held = []
+    for c, kind in columns:  # columns without a type have that of their values
+        used = {r[0] for r in db.execute(f'SELECT DISTINCT typeof("{c}") FROM "{name}"')}
+        held.append((c, "string" if kind.startswith("TEXT") or "text" in used else "double" if "real" in used else "long"))
+    lo, hi = db.execute(f'SELECT coalesce(min(rowid), 0), coalesce(max(rowid), -1) FROM "{name}"').fetchone()
     db.close()
+    return name, held, lo, hi
+
 
-    def kind(i: int) -> str:
-        values = [r[keep.index(i)] for r in rows if r[keep.index(i)] is not None]
-        if kinds.get(columns[i], "").upper().startswith("TEXT") or any(isinstance(v, str) for v in values):
-            return "string"
-        return "double" if any(isinstance(v, float) for v in values) else "long"
+def read(spark: SparkSession, path: str, layer: str, rows: int = 50_000) -> DataFrame:
+    """A layer by any of its usual names: its columns and path; none found: no rows.
 
-    schema = ", ".join([*(f"`{columns[i]}` {kind(i)}" for i in keep), "path array<struct<x:double,y:double>>"])
-    return spark.createDataFrame(rows, schema)
+    Executors read ranges of row ids, so that no layer passes through the driver.
+    """
+    found = layer_of(path, layer)
+    if found is None:
+        return spark.createDataFrame([], "path array<struct<x:double,y:double>>")
+    name, columns, lo, hi = found
+    quoted = ", ".join(f'"{c}"' for c, _ in columns)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for start, end in zip(f["lo"], f["hi"], strict=True):
+                db = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+                got = db.execute(f'SELECT {quoted}{", " if quoted else ""}geom FROM "{name}" WHERE rowid BETWEEN ? AND ?', (int(start), int(end))).fetchall()
+                db.close()
+                data = {c: pd.Series([r[k] for r in got], dtype=object) for k, (c, _) in enumerate(columns)}
+                yield pd.DataFrame(data | {"path": pd.Series([[{"x": x, "y": y} for x, y in points_of(r[-1])] for r in got], dtype=object)})
+
+    ranges = [(a, min(a + rows - 1, hi)) for a in range(lo, hi + 1, rows)]
+    schema = ", ".join([*(f"`{c}` {k}" for c, k in columns), "path array<struct<x:double,y:double>>"])
+    listed = spark.createDataFrame(ranges, "lo long, hi long").repartition(max(1, len(ranges)))
+    return shipped(listed).mapInPandas(run, schema)
