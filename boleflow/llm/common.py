@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..tables import discard, materialise, shared_dir, sweep, written  # noqa: F401
 
 #: Words of the contracts: runs without the six ASCII white-space characters.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -31,58 +29,6 @@ def prepare(spark: SparkSession) -> None:
     ship(spark)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; an own one only where none is set and there is one machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = os.path.join(tempfile.gettempdir(), "boleflow-checkpoints")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage: write a table in the shared folder and read it back.
-
-    A lost executor then costs a re-read, never a recomputation of what went before.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-#: Tables that materialise() wrote in this driver and nobody deleted.
-_WRITTEN: list[str] = []
-
-
-def written() -> set[str]:
-    return set(_WRITTEN)
-
-
-def sweep(spark: SparkSession, before: set[str], keep: list[DataFrame]) -> None:
-    """Deletes the tables that were written since written() said before, but for those of keep."""
-    kept = {os.path.basename(os.path.dirname(f)) for t in keep for f in t.inputFiles()}
-    for path in [p for p in _WRITTEN if p not in before and os.path.basename(p) not in kept]:
-        _delete(spark, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    _WRITTEN[:] = [p for p in _WRITTEN if os.path.basename(p) != os.path.basename(path)]
-
-
-def discard(table: DataFrame) -> None:
-    """Deletes the files of a table that materialise() wrote and that nothing reads any more."""
-    spark = table.sparkSession
-    for f in {os.path.dirname(f) for f in table.inputFiles()}:
-        if os.path.basename(f).startswith("table-"):
-            _delete(spark, f)
-
-
 def shards_for(spark: SparkSession, docs: DataFrame, per_shard: int = 16 << 20) -> int:
     """Shards of about per_shard text bytes each, at least the shuffle partitions.
 
