@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -16,19 +17,24 @@ READ_STRATEGIES = ("graph", "graph_aa", "overview", "consumer", "onnx_gpu", "cup
 
 
 class Segmenter(Protocol):
-    """Scores of a batch: NHWC in, NHW1 out."""
+    """Scores of a batch: NHWC in, NHW1 out. Pixels come in its dtype, if it has one, else as float32."""
 
     def predict_on_batch(self, x: np.ndarray) -> np.ndarray: ...
 
 
 class PixelSegmenter:
-    """A logistic model of single pixels: the smallest segmenter there is, for tests."""
+    """A logistic model of single pixels: the smallest segmenter there is, for tests.
+
+    Scores are doubles, by way of tanh: one is 0.5 only where the sum is 0.
+    """
+
+    dtype = np.float64
 
     def __init__(self, weights: list[float], bias: float = 0.0):
-        self.weights, self.bias = np.asarray(weights, np.float32), np.float32(bias)
+        self.weights, self.bias = np.asarray(weights, self.dtype), self.dtype(bias)
 
     def predict_on_batch(self, x: np.ndarray) -> np.ndarray:
-        return (1 / (1 + np.exp(-(x @ self.weights + self.bias))))[..., None].astype(np.float32)
+        return (0.5 + 0.5 * np.tanh((x @ self.weights + self.bias) / 2))[..., None]
 
 
 class OnnxSegmenter:
@@ -77,15 +83,37 @@ def cubic_matrix(n: int, m: int, antialias: bool = False) -> np.ndarray:
     return (w / w.sum(1, keepdims=True)).astype(np.float64)
 
 
-def resize(batch: np.ndarray, size: int, cubic: bool = True, antialias: bool = False) -> np.ndarray:
-    """NHWC to NHWC of size x size; masks (cubic=False) take the nearest pixel; same size: as is."""
+@lru_cache(maxsize=16)
+def taps(n: int, m: int, antialias: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The places (m, k) of the input that an output takes, ascending, and their weights; 0 where there are fewer."""
+    w = cubic_matrix(n, m, antialias)
+    at = np.argsort(w == 0, axis=1, kind="stable")[:, : (w != 0).sum(1).max()]
+    return at, np.take_along_axis(w, at, 1)
+
+
+def resize(batch: np.ndarray, size: int, cubic: bool = True, antialias: bool = False, full: float = 1.0) -> np.ndarray:
+    """NHWC to NHWC of size x size, as parts of full; masks (cubic=False) take the nearest pixel; same size: as is.
+
+    Doubles are summed term by term, by the input's rows and then columns: a sum that lies on a
+    threshold comes out as in a query that adds the same terms in this order.
+    """
     _, h, w, _ = batch.shape
     if h == w == size:
-        return batch
+        return batch if full == 1 else batch / full
     if not cubic:
         pick = lambda k: np.minimum(((np.arange(size) + 0.5) * k / size).astype(int), k - 1)
         return batch[:, pick(h)][:, :, pick(w)]
-    return np.einsum("ab,nbcd,ec->naed", cubic_matrix(h, size, antialias), batch.astype(np.float64), cubic_matrix(w, size, antialias), optimize=True).astype(np.float32)
+    (rows, down), (columns, across) = taps(h, size, antialias), taps(w, size, antialias)
+    out = np.zeros((len(batch), size, size, batch.shape[3]))
+    for r, u in zip(rows.T, down.T, strict=True):
+        lines = batch[:, r].astype(np.float64)
+        for c, v in zip(columns.T, across.T, strict=True):
+            term = lines[:, :, c]
+            term *= np.multiply.outer(u, v)[None, :, :, None]
+            if full != 1:
+                term /= full
+            out += term
+    return out
 
 
 def adaptive(score, batch: np.ndarray) -> np.ndarray:
@@ -105,7 +133,7 @@ def segment(pixels: np.ndarray, valid: np.ndarray, segmenter: Segmenter, c: Conf
     x = pixels[..., :3]
     if x.shape[-1] < 3:
         x = np.concatenate([x, np.zeros((*x.shape[:3], 3 - x.shape[-1]), x.dtype)], -1)
-    x = resize(x.astype(np.float32) / np.float32(255), c.img_width, True, antialias)
+    x = resize(x, c.img_width, True, antialias, 255.0).astype(getattr(segmenter, "dtype", np.float32), copy=False)
     v = resize(valid[..., None].astype(np.uint8), c.img_width, False)[..., 0] > 0
     y = adaptive(segmenter.predict_on_batch, x)[..., 0]
     k = c.overlap_pred // 2

@@ -390,7 +390,7 @@ def connect_stems(s, d):
 
 
 def segment_tiles(s, d):
-    tiles = view(s, d, "score_tiles").select("tile_id", F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("bands"), F.expr("unhex(array_join(transform(score, v -> lpad(hex(cast(least(255, greatest(0, round(v * 400 + 128))) as int)), 2, '0')), ''))").alias("pixels"))
+    tiles = view(s, d, "score_tiles").select("tile_id", F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("bands"), F.expr("unhex(array_join(transform(score, v -> lpad(hex(cast(least(255, greatest(0, round(v * 400F + 128F))) as int)), 2, '0')), ''))").alias("pixels"))
     return segment.segment_tiles(tiles, segment.PixelSegmenter([4.0, 0.0, 0.0], -2.0), connect.Config(img_width=16, overlap_pred=4))
 
 
