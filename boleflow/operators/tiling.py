@@ -83,6 +83,22 @@ def job_shards(jobs: DataFrame, n: int, total: Column) -> DataFrame:
     return jobs.withColumn("shard", F.size(F.filter(ends, lambda e: e <= F.col("tile_index"))).cast("long"))
 
 
+def shard_ranges(totals: DataFrame, n: int) -> DataFrame:
+    """The same shards of totals (raster_id, total) as ranges (raster_id, shard, first, n); those without a job are left out.
+
+    Only their ends are computed: what a raster costs does not grow with its jobs. Rows of
+    one raster count together.
+    """
+
+    def end(i: Column) -> Column:
+        return F.rint(i * F.col("total") / F.lit(float(n))).cast("long")
+
+    dealt = totals.repartition("raster_id")  # a small file of rasters would be one task
+    d = dealt.select("raster_id", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("shard"))
+    d = d.select("raster_id", "shard", end(F.col("shard")).alias("first"), (end(F.col("shard") + 1) - end(F.col("shard"))).alias("n")).filter("n > 0")
+    return d.groupBy("raster_id", "shard").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+
+
 def content_windows(windows: DataFrame, n: int) -> DataFrame:
     """n windows (raster_id, row, col, std), spread over the ranking of a raster by contrast.
 

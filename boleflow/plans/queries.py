@@ -106,8 +106,7 @@ def vector_tiles(s, d):
 
 def job_shards(s, d):
     laid = tiling.with_layout(view(s, d, "raster_info"))
-    jobs = tiling.tile_jobs(laid).join(laid.select("raster_id", (F.col("x_tiles") * F.col("y_tiles")).alias("n")), "raster_id")
-    return tiling.job_shards(jobs, 7, F.col("n")).groupBy("raster_id", "shard").agg(F.min("tile_index").alias("first"), F.count("*").alias("n"))
+    return tiling.shard_ranges(laid.select("raster_id", (F.col("x_tiles") * F.col("y_tiles")).alias("total")), 7)
 
 
 def pixel_to_world(s, d):

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from boleflow.config import Config, merge_overrides, with_overrides
 from boleflow.functions import geometry as g
-from boleflow.operators import connect, layers, merge, quantify
+from boleflow.operators import connect, layers, merge, quantify, tiling
+from boleflow.plans.queries import QUERIES
 
 
 def test_collinear_pair_becomes_one_stem(spark):
@@ -125,6 +126,22 @@ def test_quartiles_to_the_last_bit(spark):
     assert last["d"] == 0.37
 
 
+def test_shards_are_ranges(spark):
+    """Ranges are those of the jobs one by one, also where a raster comes twice; and a raster of more tiles than can be listed has its seven."""
+    totals = spark.createDataFrame([(i, t) for i, t in enumerate([0, 1, 2, 5, 7, 8, 100, 1001])] + [(7, 30)], "raster_id long, total long")
+    for n in (1, 2, 7, 10):  # halves of 1, 5 and 1001 are ties
+        jobs = totals.filter("total > 0").select("raster_id", "total", F.explode(F.expr("sequence(0L, total - 1)")).alias("tile_index"))
+        one_by_one = tiling.job_shards(jobs, n, F.col("total")).groupBy("raster_id", "shard").agg(F.min("tile_index"), F.count("*"))
+        assert sorted(map(tuple, tiling.shard_ranges(totals, n).collect())) == sorted(map(tuple, one_by_one.collect()))
+    huge = tiling.shard_ranges(spark.createDataFrame([(1, 7 * 10**12)], "raster_id long, total long"), 7)
+    assert sorted(map(tuple, huge.collect())) == [(1, i, i * 10**12, 10**12) for i in range(7)]
+
+
+def test_no_query_lists_jobs_for_their_shards(spark):
+    plan = QUERIES["job_shards"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Generate") == 1  # one row a shard, none a tile
+
+
 def test_numbered_is_gapless(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7)
     got = sorted((r["stem_id"], r["k"]) for r in layers.numbered(df, [F.col("k")]).collect())
