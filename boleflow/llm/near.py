@@ -1,15 +1,17 @@
-"""Near copies by exact Jaccard similarity of shingle sets, found under prefix roots in Gray order.
+"""Near copies by SimHash: the Gray-order index of fingerprints, then an exact way for the pairs it can't find.
 
-No radius in bits finds all pairs of a similarity: fingerprints only say where to look
-first. The roots are therefore exact. Shingles are put in one total order; two sets of
+The hierarchical index of simhash.py says which sets have fingerprints of few differing bits;
+those pairs are verified by the exact Jaccard similarity of their shingle sets. No radius in
+bits finds all pairs of a similarity, so that roots of another kind follow for the rest, which are
+exact. Shingles are put in one total order; two sets of
 similarity t or more share a shingle among the first n - ceil(t n) + 1 of either (prefix
 filter), at positions that leave enough to share (positional filter), and their sizes differ
 by a factor t at most (length filter). Every shingle of a
 prefix is a root, and every pair under a root that passes the length filter is compared
 in full before it is linked, unless its ends are already in one verified group.
 
-First the neighbours in Gray order of the SimHash fingerprints under each root are
-compared, and the members of a large root with its middle, which are no more than two pairs
+With the index's pairs the neighbours in Gray order of the SimHash fingerprints under each root are
+verified, and the members of a large root with its middle, which are no more than two pairs
 a member; they join dense groups. Then pairs whose ends
 are still in different groups follow; a group is never paired with itself, and a large one
 is met through nodes of its Gray order that are dropped whole. Sketches (counts of a set's
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, binary, discard, materialise, tasks_for
 from .components import components
-from .simhash import fold, gray_rank, shingle_hashes
+from .simhash import BITS, fold, gray_rank, link, shingle_hashes
 
 #: One document in SHARE is in the sample, at every size of the input; a shingle that COMMON of
 #: them have is common. So roots of other shingles stay about as small as the input grows.
@@ -126,6 +128,21 @@ def _meets(n: np.ndarray, pos: np.ndarray, x: np.ndarray, y: np.ndarray, limit:
     return np.minimum(n[x] - pos[x], n[y] - pos[y]) * (1000 + limit) >= (n[x] + n[y]) * limit
 
 
+def indexed(sets: DataFrame, bits: int = BITS) -> DataFrame:
+    """Pairs (a, b) of the sets (id, fp) that the SimHash index links: as many as span its groups of fingerprints.
+
+    A fingerprint stands for all sets that have it; each of them is paired with its first.
+    """
+    firsts = materialise(sets.groupBy("fp").agg(F.min("id").alias("first"), F.max("id").alias("last")))
+    linked = link(firsts.select("fp"), bits).distinct()
+    ends = [firsts.select(F.col("fp").alias(k), F.col("first").alias(f"first_{k}")) for k in "ab"]
+    across = linked.join(ends[0], "a").join(ends[1], "b").select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
+    same = sets.join(firsts.filter("first < last"), "fp").filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    pairs = materialise(across.union(same).distinct())
+    discard(firsts)
+    return pairs
+
+
 def shared(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """The rows (root, id, n, fp, pos) that have another of a fitting size under their root."""
     if got := _read(batches):
@@ -300,13 +317,16 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     marked = materialise(arrow_map(texts, mark, "doc_id long, digest binary, n long, fp long, prefix array<long>, sketch binary, wide binary"))
     least = materialise(marked.groupBy("digest").agg(F.min("doc_id").alias("id")))
     # one row a set; a set of several rows of its least id comes more than once, which does no harm
-    spread = marked.join(least, (marked["digest"] == least["digest"]) & (marked["doc_id"] == least["id"]), "left_semi").select(F.posexplode("prefix").alias("pos", "root"), F.col("doc_id").alias("id"), "n", "fp").select("root", "id", "n", "fp", "pos")
+    sets = marked.join(least, (marked["digest"] == least["digest"]) & (marked["doc_id"] == least["id"]), "left_semi")
+    by_index = indexed(sets.select(F.col("doc_id").alias("id"), "fp").distinct())
+    spread = sets.select(F.posexplode("prefix").alias("pos", "root"), F.col("doc_id").alias("id"), "n", "fp").select("root", "id", "n", "fp", "pos")
     spark = docs.sparkSession
     n_roots = marked.agg(F.sum(F.size("prefix"))).first()[0] or 0
     rooted = materialise(arrow_map(spread.repartition(tasks_for(spark, n_roots // ROWS), "root"), lambda b: shared(b, limit), "root long, id long, n long, fp long, pos int"))
     parts = tasks_for(spark, rooted.count() // ROWS)
 
-    near = materialise(arrow_map(rooted.repartition(parts, "root"), lambda b: neighbours(b, limit), "a long, b long").distinct())
+    beside = arrow_map(rooted.repartition(parts, "root"), lambda b: neighbours(b, limit), "a long, b long")
+    near = materialise(by_index.union(beside).distinct())
     links = verified(sift(near, marked, limit), texts, shingle, limit)
     found = components(links)
     tops = rooted.join(found.withColumnRenamed("a", "id"), "id", "left").select("root", "id", "n", "fp", "pos", F.coalesce("b", "id").alias("top"))
@@ -318,7 +338,7 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     ids = marked.join(least, "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).filter("a <> b")
     several = marked.groupBy("doc_id").agg(F.count_distinct("digest").alias("k")).filter("k > 1").select(F.col("doc_id").alias("a"))
     joined = components(links.union(more).union(ids.join(several, "a", "left_semi")))
-    for table in (rooted, near, left, rest):
+    for table in (by_index, rooted, near, left, rest):
         discard(table)
     placed = least.join(joined.withColumnRenamed("a", "id"), "id", "left").select("digest", F.coalesce("b", "id").alias("component_id"))
     return marked.join(placed, "digest").select("doc_id", "component_id")

@@ -6,6 +6,7 @@ import numpy as np
 
 import corpus_pipeline
 from boleflow.llm import near
+from boleflow.llm.simhash import fold, shingle_hashes
 
 DATA = "/root/testdata/sf0.001"
 
@@ -114,3 +115,34 @@ def test_groups_of_given_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     assert {tuple(r) for r in near.group(docs).select("doc_id", "component_id").collect()} == brute(rows)
+
+
+def test_the_fingerprint_index_gives_pairs(spark):
+    """The index links the groups that all pairs of at most four bits would, and nothing else; its near pairs are near copies without a root."""
+    rng = random.Random(8)
+    texts = [t for _ in range(30) for t in planted(rng, 0.97, 200)]
+    fps = [int(np.uint64(fold(shingle_hashes(t.encode(), 5))).view(np.int64)) for t in texts]
+    fps += [fps[0]] * 3  # of one fingerprint
+    got = near.indexed(spark.createDataFrame(list(enumerate(fps)), "id long, fp long")).collect()
+
+    def groups(pairs):
+        top = list(range(len(fps)))
+        for _ in fps:
+            for a, b in pairs:
+                top[a] = top[b] = min(top[a], top[b])
+        return top
+
+    close = [(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if bin((fps[i] ^ fps[j]) & (2**64 - 1)).count("1") <= 4]
+    assert groups([(r["a"], r["b"]) for r in got]) == groups(close) and sum(b == a + 1 and a % 2 == 0 for a, b in close) > 15
+
+
+def test_near_copies_come_by_the_index(spark, monkeypatch):
+    """With no root at all, those within the index's reach are still found: the rest is what the exact roots add."""
+    rng = random.Random(9)
+    texts = [t for _ in range(20) for t in planted(rng, 0.97, 200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {r["doc_id"]: r["component_id"] for r in near.group(docs).collect()}
+    assert all(whole[i] == i - i % 2 for i in whole)
+    monkeypatch.setattr(near, "shared", lambda batches, limit: iter(()))
+    alone = {r["doc_id"]: r["component_id"] for r in near.group(docs).collect()}
+    assert sum(alone[i] == i - 1 for i in range(1, 40, 2)) > 10 and all(alone[i] in (i, i - i % 2) for i in alone)
