@@ -42,6 +42,8 @@ CACHE = 900_000
 RUNS = 1 << 20
 #: Parts that the tokenizer gets in one text.
 TOGETHER = 256
+#: Texts that the tokenizer gets in one call: what it returns takes many times their ids.
+CALL = 256
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -58,13 +60,17 @@ class WordIds:
         self.tokenizer, self.runs, self.parts = tokenizer, {}, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.encodings(texts)]
+
+    def encodings(self, texts: list[str]) -> Iterator:
+        for at in range(0, len(texts), CALL):
+            yield from self.tokenizer.encode_batch(texts[at : at + CALL], add_special_tokens=False)
 
     def encode_parts(self, parts: list[str]) -> list[bytes]:
         """Ids of parts that the tokenizer does not split further: many in a call, told apart by its own word numbers."""
         out: list[bytes] = []
         lines = [parts[at : at + TOGETHER] for at in range(0, len(parts), TOGETHER)]
-        for line, e in zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+        for line, e in zip(lines, self.encodings([" ".join(x) for x in lines]), strict=True):
             ids, words = array("I", e.ids).tobytes(), np.array(e.word_ids, np.int64)
             ends = np.searchsorted(words, np.arange(len(line)), side="right")
             if words[-1] + 1 != len(line):  # not one word each after all

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import tidy_pair
 from .repeats import BASES, LONG, U, Known, mix, nullable, powers, prefixes, read_chunks, table, texts_of, verdicts
 
 LENGTH = 35
@@ -186,4 +187,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             }
         ).append_column("carried", nullable(docs_t.column("carried")))
 
-    return dealt.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(finish, f"{SCHEMA}, kept binary, carried {dealt.schema['carried'].dataType.simpleString()}")
+    return dealt.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(tidy_pair(finish), f"{SCHEMA}, kept binary, carried {dealt.schema['carried'].dataType.simpleString()}")

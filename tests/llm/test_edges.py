@@ -103,3 +103,28 @@ def test_urls(spark):
     assert got[6][2] is None and got[7][:3] == ("example.net", "", None)
     assert got[8][2:] == ("example.net/de/8", "block") and got[9][2:] == ("net/de/", "allow") and got[10][2:] == ("org/es/", "block")
     assert url_filter.judge(d.filter("page_id > 99")).count() == 0
+
+
+def test_workers_keep_nothing_of_earlier_operators():
+    """A group's function leaves no table of an operator before it, and the tokenizer is not asked for all texts at once."""
+    import pyarrow as pa
+
+    from boleflow.llm import common, packing
+
+    common.held("earlier", dict)
+    out = common.tidy_pair(lambda a, b: a.append_column("b", b.column(0)))(pa.table({"a": [1]}), pa.table({"b": [2]}))
+    assert out.to_pydict() == {"a": [1], "b": [2]} and not common._HELD
+    calls = []
+
+    class Encoding:
+        def __init__(self, text):
+            self.ids, self.word_ids = list(map(len, text.split(" "))), list(range(text.count(" ") + 1))
+
+    class Tokenizer:
+        def encode_batch(self, texts, add_special_tokens):
+            calls.append(len(texts))
+            return list(map(Encoding, texts))
+
+    words = packing.WordIds(Tokenizer())
+    assert words.encode_parts(["a" * (i % 7 + 1) for i in range(200_000)]) == [(i % 7 + 1).to_bytes(4, "little") for i in range(200_000)]
+    assert max(calls) <= packing.CALL < sum(calls)
